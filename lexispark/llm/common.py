@@ -7,6 +7,8 @@ import shutil
 import string
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), for the functions that run in Python there."""
+    context = spark.sparkContext
+    if _own.get("shipped") != context.applicationId:
+        folder = tempfile.mkdtemp(prefix="lexispark-")
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/lexispark_code.zip", "w") as out:
+            for path in sorted(Path(__file__).parents[1].rglob("*.py")):
+                out.write(path, path.relative_to(Path(__file__).parents[2]))
+        context.addPyFile(f"{folder}/lexispark_code.zip")
+        _own["shipped"] = context.applicationId
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

@@ -56,17 +56,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return leveled.select("source", "weight", "source_size", target.alias("target"))
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame, limit: Column | None = None) -> DataFrame:
+def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """budgets (source, budget) to (source, budget, below, spent): documents with hash < below, `spent` words, fit the budget.
 
-    `rows` (source, size, h); `limit`, over columns of both, leaves rows out.
+    `rows` has source, size and h. The documents left to sum are a 256th of those before, level by level.
     """
     state = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("spent"), F.lit(True).alias("open"))
     for level in range(LEVELS):
         rest = BITS * (LEVELS - level)
         joined = rows.join(state.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
         inside = F.col("open") & (F.shiftright("h", rest) == F.col("prefix"))
-        inside = inside if limit is None else inside & limit
         hist = joined.filter(inside).groupBy("source", F.shiftright("h", rest - BITS).alias("bucket")).agg(F.sum("size").alias("words"))
         up_to = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         hist = hist.withColumn("before", up_to - F.col("words")).withColumn("up_to", up_to)
@@ -93,47 +92,61 @@ def _threshold(rows: DataFrame, budgets: DataFrame, limit: Column | None = None)
     return state.select("source", "budget", F.col("prefix").alias("below"), "spent")
 
 
-def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
-        share: float = 1.5, most: float = 2.0, rounds: int = 2) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies (how often the mix takes the document, 0 to `most`) and taken."""
+def plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
+         share: float = 1.5, most: float = 2.0, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows (doc_id, source, size, h), written, and a row per source: source, source_size, target, whole, and the
+    threshold and open budget of each round (below0, gap0, ...)."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_matches(F.col(text_col), WORD).alias("size"), hash32(F.col(id_col)).alias("h")
     )
     rows = materialize(rows, "sizes")
-    plan = materialize(targets(rows, weights, share, most), "targets")
+    sources = materialize(targets(rows, weights, share, most), "targets")
     # every document as often as the target holds the source wholly; the rest of the target is the budget
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    first = _threshold(rows, plan)
-    plan = plan.drop("budget").join(first.select(F.col("source").alias("__s"), "below", (F.col("budget") - F.col("spent")).alias("gap0")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    plan = plan.withColumnRenamed("below", "below0")
-    plan = materialize(plan, "plan0")
-    chosen = F.col("h") < F.col("below0")
+    sources = sources.withColumn("whole", whole).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
+    for i in range(rounds):
+        left = rows if not i else _with(rows, sources).filter(_left_open(i)).select("source", "size", "h")
+        found = _threshold(left, sources.select("source", F.col("gap" if not i else f"gap{i - 1}").alias("budget")))
+        found = found.select(F.col("source").alias("__s"), F.col("below").alias(f"below{i}"), (F.col("budget") - F.col("spent")).alias(f"gap{i}"))
+        sources = materialize(sources.join(found, F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "gap"), f"plan{i}")
+    return rows, sources
+
+
+def _with(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    return rows.join(sources.withColumnRenamed("source", "__lx_source"), F.col("source").eqNullSafe(F.col("__lx_source")))
+
+
+def _left_open(i: int) -> Column:
+    """Whether round i considers a row: no round before has taken it, and it fits into what they left open."""
+    return ~_chosen(i) & (F.col("size") <= F.col(f"gap{i - 1}"))
+
+
+def _chosen(rounds: int) -> Column:
+    """Whether one of the first `rounds` rounds takes a row (size, h) joined with its source's plan."""
+    taken = F.col("h") < F.col("below0")
     for i in range(1, rounds):
-        gap = F.col(f"gap{i - 1}")
-        fits = ~chosen & (F.col("size") <= gap)
-        budgets = plan.select("source", gap.alias("budget"))
-        carried = rows.join(plan.withColumnRenamed("source", "__p"), F.col("source").eqNullSafe(F.col("__p"))).filter(fits).select("source", "size", "h")
-        found = _threshold(carried, budgets)
-        plan = plan.join(found.select(F.col("source").alias("__s"), F.col("below").alias(f"below{i}"), (F.col("budget") - F.col("spent")).alias(f"gap{i}")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-        plan = materialize(plan, f"plan{i}")
-        chosen = chosen | (fits & (F.col("h") < F.col(f"below{i}")))
-    joined = rows.join(plan.withColumnRenamed("source", "__p"), F.col("source").eqNullSafe(F.col("__p")))
-    copies = (F.col("whole") + F.when(chosen, 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        taken = taken | ((F.col("size") <= F.col(f"gap{i - 1}")) & (F.col("h") < F.col(f"below{i}")))
+    return taken
+
+
+def mix(docs: DataFrame, rounds: int = 2, **params) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document) and taken."""
+    rows, sources = plan(docs, rounds=rounds, **params)
+    copies = (F.col("whole") + F.when(_chosen(rounds), 1).otherwise(0)).cast("long")
+    return _with(rows, sources).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def take(docs: DataFrame, **params) -> DataFrame:
-    """`docs` as the mix takes them: each document as many times as it has copies, none if 0. Columns stay the same."""
-    copies = mix(docs, **params).groupBy("doc_id", "source").agg(F.min("copies").alias("__lx_copies"))
-    copies = copies.select(F.col("doc_id").alias("__lx_id"), F.col("source").alias("__lx_source"), "__lx_copies")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__lx_id")) & docs["source"].eqNullSafe(F.col("__lx_source")))
-    repeated = joined.filter("__lx_copies > 0").withColumn("__lx_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__lx_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", rounds: int = 2, **params) -> DataFrame:
+    """`docs` as the mix takes them: each document as many times as it has copies, none if 0. Columns stay the same, and texts aren't shuffled."""
+    _, sources = plan(docs, text_col, id_col, source_col, rounds=rounds, **params)
+    copies = (F.col("whole") + F.when(_chosen(rounds), 1).otherwise(0)).cast("int")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(source_col).cast("string").alias("source"), count_matches(F.col(text_col), WORD).alias("size"), hash32(F.col(id_col)).alias("h"))
+    return _with(rows, sources).select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 SQL = r"""

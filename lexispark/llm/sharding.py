@@ -5,8 +5,8 @@ rows, so that a run of the order is a compact box of the dimensions and a file c
 minima and maxima in all of them. The order is cut into runs of equal row counts or equal bytes.
 
 The order is total over distinct rows (curve index, CRC of the text, id), so rows of one cell, however many, and equal
-texts are spread over tasks like any others. Ranks come from a range-partitioned, written copy of the
-narrow rows: counts per range, summed over the ranges, plus the rank within the range. No window spans all rows.
+texts are spread over tasks like any others. Ranks come from a range-partitioned, sorted and written copy: counts per
+range, summed over the ranges, plus the place within the range. The rows are shuffled once and no window spans them.
 
 Defined results: nulls have cells and hashes of their own; a null text has size 1 and CRC 0; repeated rows are placed
 one by one; an empty table gives an empty table; further columns of the input are not looked at.
@@ -74,8 +74,13 @@ def magnitude(column: Column, bits: int = BITS) -> Column:
     return F.least(F.floor(F.log2(F.greatest(column, F.lit(1)).cast("double"))).cast("int"), F.lit((1 << bits) - 1))
 
 
-def assign(docs: DataFrame, shards: int = 16, law: str = "rows", text_col: str = "text", id_col: str = "doc_id", names: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard and slot of every row.
+#: Columns that `place` adds; those of these names in its input are replaced.
+ADDED = ("size", "text_crc32", "curve", "shard", "slot")
+
+
+def place(docs: DataFrame, shards: int = 16, law: str = "rows", text_col: str = "text", id_col: str = "doc_id", names: tuple[str, ...] = ("source", "lang"),
+          keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all, if None; the id at least) with size, text_crc32, curve, shard and slot.
 
     Law "rows": shard sizes differ by one row at most. Law "bytes": cut where the sum of sizes passes each multiple of its mean.
     """
@@ -83,49 +88,52 @@ def assign(docs: DataFrame, shards: int = 16, law: str = "rows", text_col: str =
         raise ValueError(f"law must be rows or bytes, not {law}")
     text = F.col(text_col)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    own = [c for c in keep or docs.columns if c not in ADDED]
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        *[docs[c] for c in own],
         size.alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         hilbert([*[categorical(F.col(c)) for c in names], magnitude(size)]).alias("curve"),
     )
-    order = ["curve", "text_crc32", "doc_id"]
-    # the range partitioner's number of tasks follows the session; each range is one partition of the written table
+    order = ["curve", "text_crc32", id_col]
+    # the range partitioner's number of tasks follows the session; within a sorted task, the running id counts the rows
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__lx_id", F.monotonically_increasing_id())
     ranged = materialize(ranged, "ranged")
-    weight = F.lit(1).cast("long") if law == "rows" else F.col("size")
-    sums = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+    ranged = ranged.withColumn("__lx_range", F.shiftright("__lx_id", 33)).withColumn("__lx_i", F.col("__lx_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sums = ranged.groupBy("__lx_range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
     # one row per range
-    so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.orderBy("__lx_range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
     sums = sums.select(
-        F.col("range").alias("__r"),
-        F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("n0"),
-        F.coalesce(F.sum("w").over(so_far), F.lit(0)).alias("w0"),
-        F.sum("w").over(Window.partitionBy()).alias("total"),
+        F.col("__lx_range").alias("__lx_r"),
+        F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("__lx_n0"),
+        F.coalesce(F.sum("w").over(so_far), F.lit(0)).alias("__lx_w0"),
+        F.sum("n").over(everything).alias("__lx_n"),
+        F.sum("w").over(everything).alias("__lx_w"),
     )
-    within = Window.partitionBy("range").orderBy(*order)
-    placed = ranged.withColumn("i", F.row_number().over(within)).withColumn("c", F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)) - weight)
-    placed = placed.join(sums, F.col("range") == F.col("__r"))
-    exact = F.expr(f"cast(((w0 + c) * {shards}) div total as int)")
-    placed = placed.select("doc_id", "size", "text_crc32", "curve", F.least(exact, F.lit(shards - 1)).alias("shard"), (F.col("n0") + F.col("i") - 1).alias("rank"))
-    placed = materialize(placed, "placed")
-    first = placed.groupBy("shard").agg(F.min("rank").alias("__first")).withColumnRenamed("shard", "__shard")
-    # one row per shard: its size is bounded by the number of shards
-    placed = placed.join(F.broadcast(first), F.col("shard") == F.col("__shard"))
-    return placed.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rank") - F.col("__first")).cast("long").alias("slot"))
+    # as many rows as the session has shuffle partitions
+    ranked = ranged.join(F.broadcast(sums), F.col("__lx_range") == F.col("__lx_r")).withColumn("__lx_rank", F.col("__lx_n0") + F.col("__lx_i"))
+    if law == "rows":
+        out = ranked.withColumn("shard", F.expr(f"cast(__lx_rank * {shards} div __lx_n as int)"))
+        # the first rank whose shard is s is s * n / shards, rounded up
+        out = out.withColumn("slot", F.col("__lx_rank") - F.expr(f"(cast(shard as bigint) * __lx_n + {shards - 1}) div {shards}"))
+    else:
+        within = Window.partitionBy("__lx_range").orderBy("__lx_id").rowsBetween(Window.unboundedPreceding, -1)
+        cut = ranked.select("__lx_id", "__lx_rank", "__lx_w0", "__lx_w", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("c"))
+        cut = materialize(cut.select("__lx_id", "__lx_rank", F.expr(f"cast((__lx_w0 + c) * {shards} div __lx_w as int)").alias("shard")), "cut")
+        first = cut.groupBy(F.col("shard").alias("__lx_s")).agg(F.min("__lx_rank").alias("__lx_first"))
+        # one row per shard
+        cut = cut.join(F.broadcast(first), F.col("shard") == F.col("__lx_s")).select("__lx_id", "shard", (F.col("__lx_rank") - F.col("__lx_first")).alias("slot"))
+        out = ranged.join(cut, "__lx_id")
+    return out.select(*own, "size", "text_crc32", "curve", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    df = assign(docs)
+    df = place(docs, keep=["doc_id"])
     return df.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, law: str = "rows") -> None:
-    """`docs` as one folder per shard, its rows in curve order. Rows that share an id and a text are alike, so any may take either's place."""
-    keys = assign(docs, shards, law).select(F.col("doc_id").alias("__lx_id"), F.col("text_crc32").alias("__lx_crc"), F.col("shard"), F.col("slot"))
-    keys = keys.withColumn("__lx_k", F.row_number().over(Window.partitionBy("__lx_id", "__lx_crc").orderBy("shard", "slot")))
-    crc = F.crc32(F.coalesce(docs["text"], F.lit("")))
-    numbered = docs.withColumn("__lx_c", crc).withColumn("__lx_n", F.row_number().over(Window.partitionBy("doc_id", "__lx_c").orderBy("text")))
-    joined = numbered.join(keys, F.col("doc_id").eqNullSafe(F.col("__lx_id")) & (F.col("__lx_c") == F.col("__lx_crc")) & (F.col("__lx_n") == F.col("__lx_k")))
-    joined.drop("__lx_id", "__lx_crc", "__lx_k", "__lx_c", "__lx_n").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """`docs` as one folder per shard, its rows in curve order."""
+    place(docs, shards, law).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import materialize
+from lexispark.llm.common import materialize, ship
 from lexispark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -63,14 +64,15 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _prefix_bits(nodes: int) -> int:
@@ -147,6 +149,7 @@ def _collide(prefix_bits: int):
 def links(nodes: DataFrame, passes: int = 4) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of the links of at most 4 bits."""
     spark = nodes.sparkSession
+    ship(spark)
     bits = _prefix_bits(nodes.count())
     found = None
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
