@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import stats
+from lexispark.plans import relational, stats
 
-MODULES = (stats,)
+MODULES = (stats, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
