@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import relational, stats
+from lexispark.plans import relational, sequences, stats
 
-MODULES = (stats, relational)
+MODULES = (stats, relational, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
