@@ -77,16 +77,16 @@ def shuffle_user_runs(rows: DataFrame, conv: str, order: str, role: str, kind: s
     Adds new_order. Rows of a conversation are the unit of work.
     """
     w = Window.partitionBy(conv).orderBy(order)
-    df = rows.withColumn("__run", F.sum((~F.col(role).eqNullSafe(F.lag(role).over(w))).cast("int")).over(w))
+    df = rows.withColumn("__run", F.sum((~F.col(role).eqNullSafe(F.lag(role).over(w))).cast("int")).over(w).cast("int"))
     change = (~F.col(role).eqNullSafe(F.lag(role).over(w))) | (~F.col(kind).eqNullSafe(F.lag(kind).over(w)))
-    df = df.withColumn("__chunk", F.sum(change.cast("int")).over(w)).withColumn("__at", F.row_number().over(w))
+    df = df.withColumn("__chunk", F.sum(change.cast("int")).over(w).cast("int")).withColumn("__at", F.row_number().over(w))
     run = Window.partitionBy(conv, "__run")
     df = df.withColumns({"__n": F.count(F.lit(1)).over(run), "__first": F.min("__chunk").over(run), "__last": F.max("__chunk").over(run)})
     flip = (F.col(role) == "user") & (F.col("__n") > 1) & (F.pmod(F.xxhash64(F.col(conv), F.col("__run"), F.lit(seed)), F.lit(2)) == 0)
     key = (
-        F.when(flip & (F.col("__first") == F.col("__last")), F.struct(F.lit(0), -F.col("__at")))
-        .when(flip, F.struct(-F.col("__chunk"), F.col("__at")))
-        .otherwise(F.struct(F.col("__chunk"), F.col("__at")))
+        F.when(flip & (F.col("__first") == F.col("__last")), F.struct(F.lit(0).alias("c"), (-F.col("__at")).alias("a")))
+        .when(flip, F.struct((-F.col("__chunk")).alias("c"), F.col("__at").alias("a")))
+        .otherwise(F.struct(F.col("__chunk").alias("c"), F.col("__at").alias("a")))
     )
     ranked = df.withColumn("new_order", F.row_number().over(Window.partitionBy(conv).orderBy("__run", key)))
     return ranked.drop("__run", "__chunk", "__at", "__n", "__first", "__last")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import relational, sequences, stats
+from lexispark.plans import partitions, relational, sequences, stats
 
-MODULES = (stats, relational, sequences)
+MODULES = (stats, relational, sequences, partitions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
