@@ -12,6 +12,11 @@ WORD = r"[\p{L}\p{N}_]"
 MARKS = r"[!-/:-@\[-`{-~«»“”„’‘…–—¿¡]"
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _each(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
@@ -46,14 +51,14 @@ SPECIAL = [
 def normalise_characters(text: Column) -> Column:
     """Composed accents; plain quotes, dashes, ellipses, spaces and ligatures; no control characters."""
     # letter + combining mark, for the letters that European languages use
+    pairs = []
     for mark, plain, composed in (
         ("\u0301", "aeiouyAEIOUY", "áéíóúýÁÉÍÓÚÝ"), ("\u0300", "aeiouAEIOU", "àèìòùÀÈÌÒÙ"), ("\u0302", "aeiouAEIOU", "âêîôûÂÊÎÔÛ"),
         ("\u0308", "aeiouyAEIOU", "äëïöüÿÄËÏÖÜ"), ("\u0303", "anoANO", "ãñõÃÑÕ"), ("\u0327", "cC", "çÇ"),
     ):
-        fixed = text
-        for a, b in zip(plain, composed, strict=True):
-            fixed = F.replace(fixed, F.lit(a + mark), F.lit(b))
-        text = F.when(F.contains(text, F.lit(mark)), fixed).otherwise(text)
+        pairs += [(a + mark, b) for a, b in zip(plain, composed, strict=True)]
+    compose = lambda t: F.when(t.rlike("[\u0300-\u0327]"), reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, t)).otherwise(t)
+    text = bind(text, compose)
     return _each(text, SPECIAL)
 
 
@@ -157,9 +162,9 @@ def wer_normalise(text: Column, mode: str = "") -> Column:
 def clean_caption(text: Column) -> Column:
     """Captions: no brackets, emoji or special characters; all-capital lines in sentence case."""
     out = clean_brackets(remove_emoji(normalise_characters(text)))
-    out = collapse_whitespace(remove_special(out))
-    shout = (out == F.upper(out)) & out.rlike(r"\p{L}")
-    return F.when(shout, F.concat(F.upper(F.substring(out, 1, 1)), F.lower(F.substr(out, F.lit(2))))).otherwise(out)
+    shout = lambda t: (t == F.upper(t)) & t.rlike(r"\p{L}")
+    sentence = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))
+    return bind(collapse_whitespace(remove_special(out)), lambda t: F.when(shout(t), sentence(t)).otherwise(t))
 
 
 #: Hesitations.

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import partitions, relational, sequences, stats
+from lexispark.plans import partitions, relational, sequences, stats, texts
 
-MODULES = (stats, relational, sequences, partitions)
+MODULES = (stats, relational, sequences, partitions, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
