@@ -35,29 +35,24 @@ def dedup(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def glue(segments: DataFrame, gap: float = 1.0, longest: float = 30.0) -> DataFrame:
-    """rec, start, end, text, n: segments (rec, start, end, text) glued as they come; a recording's open piece is its state, given out when a later one closes it
-    or nothing has come for an hour."""
+    """rec, start, end, text, n: segments (rec, start, end, text) glued as they come; a recording's open piece is its state, given out
+    when a later segment closes it."""
     out = "rec string, start double, end double, text string, n long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = []
         last = state.get if state.exists else None
-        if state.hasTimedOut:
-            done, last = [last], None
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["start", "end", "text"])
-            for s, e, t in zip(rows["start"], rows["end"], rows["text"], strict=True):
-                if last and s - last[1] <= gap and max(e, last[1]) - last[0] <= longest:
-                    last = (last[0], max(e, last[1]), f"{last[2]} {t}", last[3] + 1)
-                else:
-                    done += [last] if last else []
-                    last = (float(s), float(e), t, 1)
-            state.update(last)
-            state.setTimeoutDuration(3_600_000)
+        rows = pd.concat(list(batches)).sort_values(["start", "end", "text"])
+        for s, e, t in zip(rows["start"], rows["end"], rows["text"], strict=True):
+            if last and s - last[1] <= gap and max(e, last[1]) - last[0] <= longest:
+                last = (last[0], float(max(e, last[1])), f"{last[2]} {t}", last[3] + 1)
+            else:
+                done += [last] if last else []
+                last = (float(s), float(e), t, 1)
+        state.update(last)
         yield pd.DataFrame([(key[0], *x) for x in done], columns=["rec", "start", "end", "text", "n"])
 
-    return segments.groupBy("rec").applyInPandasWithState(step, out, "start double, end double, text string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return segments.groupBy("rec").applyInPandasWithState(step, out, "start double, end double, text string, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
