@@ -218,3 +218,46 @@ def balanced_pairs(df: DataFrame, speaker: str, session: str, utt: str, seed: in
     negatives = neg.filter("b is not null and sa <> sb").select("a", "b", F.lit(0).alias("same"))
     both = positives.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
     return both.unionByName(negatives.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct())
+
+
+def speaker_chunks(df: DataFrame, speaker: str, n: int) -> DataFrame:
+    """speaker, chunk: speakers in order, cut into n runs of near equal numbers of rows. One row per speaker is ordered, not the rows."""
+    per = df.groupBy(speaker).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.orderBy(speaker).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(upto), F.lit(0)).cast("long")
+    return per.withColumns({"__b": before, "__t": F.sum("__n").over(Window.partitionBy())}).select(speaker, F.expr(f"cast(__b * {n} div __t as int)").alias("chunk"))
+
+
+def split_by_lists(df: DataFrame, path: str, lists: dict[str, list[str]]) -> DataFrame:
+    """split: of the list one of whose ids ends the path (but for its ending); null for none, an error for more than one."""
+    stem = F.regexp_replace(path, r"\.[A-Za-z0-9]+$", "")
+    hits = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(i) for i in ids]), lambda i: F.endswith(stem, i)), F.lit(name)) for name, ids in lists.items()]))
+    one = F.when(F.size(hits) > 1, F.raise_error(F.concat(F.lit("in several lists: "), F.col(path)))).otherwise(F.get(hits, F.lit(0)))
+    return df.withColumn("split", one)
+
+
+def versions(df: DataFrame, key: list[str], ratio: float, seed: int = 0) -> DataFrame:
+    """version 0 of each row, and version 1 of a share of them, by hash."""
+    more = F.when(uniform(*key, seed=seed) < ratio, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("version", F.explode(more))
+
+
+def dataset_mode(name: Column) -> Column:
+    """train, dev or test, as a dataset's name says; train if it says nothing."""
+    part = lambda words: name.rlike(rf"(?:^|[^a-z])(?:{words})(?:$|[^a-z])")
+    return F.when(part("test|eval"), "test").when(part("dev|valid|validation"), "dev").otherwise("train")
+
+
+def translation_contexts(names: DataFrame, templates: DataFrame) -> DataFrame:
+    """Prompts of all pairs of languages: names (prompt_lang, code, name), templates (prompt_lang, template with {source} and {target}).
+
+    weight: .94 if the prompt's language is one of the two, .04 for another one of English and French, .02 otherwise. French articles are contracted.
+    """
+    s = names.select("prompt_lang", F.col("code").alias("source"), F.col("name").alias("source_name"))
+    t = names.select("prompt_lang", F.col("code").alias("target"), F.col("name").alias("target_name"))
+    rows = templates.join(s, "prompt_lang").join(t, "prompt_lang").filter("source <> target")
+    text = F.replace(F.replace("template", F.lit("{source}"), F.col("source_name")), F.lit("{target}"), F.col("target_name"))
+    elided = F.regexp_replace(F.regexp_replace(text, r"\bdu (?=[aeiouhéà])", "de l'"), r"\ble (?=[aeiouhéà])", "l'")
+    own = (F.col("prompt_lang") == F.col("source")) | (F.col("prompt_lang") == F.col("target"))
+    weight = F.when(own, 0.94).when(F.col("prompt_lang").isin("en", "fr"), 0.04).otherwise(0.02)
+    return rows.select("source", "target", "prompt_lang", F.when(F.col("prompt_lang") == "fr", elided).otherwise(text).alias("context"), weight.alias("weight"))

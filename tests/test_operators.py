@@ -103,3 +103,11 @@ def test_language_accepted(spark):
     df = spark.sql("select map('fr', 0.5D, 'en', 0.44D, 'de', 0.0D) as s")
     assert [df.select(P.language_accepted(F.col("s"), x)).first()[0] for x in ("fr", "en", "de")] == [True, False, False]
     assert df.select(P.language_accepted(F.col("s"), "en", 0.13)).first()[0]
+
+
+def test_cut_overlaps():
+    from lexispark.operators.diarize import cut_overlaps
+
+    assert cut_overlaps([(0.0, 5.0, "a"), (2.0, 3.0, "b")]) == [(0.0, 2.0, "a"), (2.0, 3.0, "b"), (3.0, 5.0, "a")]
+    assert cut_overlaps([(0.0, 2.0, "a"), (1.0, 3.0, "b"), (5.0, 6.0, "c")]) == [(0.0, 1.0, "a"), (1.0, 3.0, "b"), (5.0, 6.0, "c")]
+    assert cut_overlaps([]) == []
