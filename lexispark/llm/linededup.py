@@ -41,10 +41,11 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     place = F.struct("doc_id", "th", "pos")
     groups = windows(docs, text_col, id_col, size).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeats = materialize(groups.filter(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h").alias("__h"), "first"), "repeats")
-    later = windows(docs, text_col, id_col, size).join(repeats, F.col("h") == F.col("__h")).filter(~place.eqNullSafe(F.col("first")))
+    later = windows(docs, text_col, id_col, size).join(repeats.hint("merge"), F.col("h") == F.col("__h")).filter(~place.eqNullSafe(F.col("first")))
     starts = later.groupBy(F.col("doc_id").alias("__lx_id"), F.col("th").alias("__lx_th")).agg(F.sort_array(F.collect_set("pos")).alias("__lx_starts"))
     starts = materialize(starts, "starts")
-    joined = docs.join(starts, docs[id_col].eqNullSafe(F.col("__lx_id")) & (F.xxhash64(docs[text_col]) == F.col("__lx_th")), "left")
+    # a merge at every size: neither table has a bound that would let it be broadcast
+    joined = docs.join(starts.hint("merge"), docs[id_col].eqNullSafe(F.col("__lx_id")) & (F.xxhash64(docs[text_col]) == F.col("__lx_th")), "left")
 
     lines, n = _lines(F.col(text_col)), F.size(_lines(F.col(text_col)))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("kept"))
