@@ -17,7 +17,7 @@ def write(path, text):
 
 @pytest.fixture
 def utterances(tmp_path):
-    base = tmp_path / "kaldi"
+    base = tmp_path / "folder"
     base.mkdir()
     write(base / "text", "u1 bonjour  <noise> à tous\nu2 ok\nu3 sans segment\n")
     write(base / "segments", "u1 r1 0 1.5\nu2 r1 1.5 2.25\n")
