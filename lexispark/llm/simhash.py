@@ -105,6 +105,8 @@ def _emit(prefix_bits: int, first: int, last: int, chunk: int = 1024):
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node but the smallest of its component, with that smallest one."""
+    if not len(a):
+        return a, b
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = ends[: len(a)], ends[len(a) :]
     label = np.arange(len(nodes))
@@ -126,21 +128,25 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _collide(prefix_bits: int):
     inverse, bits = np.uint64(pow(_ODD, -1, 1 << 64)), np.uint64(prefix_bits)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        records = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in group["records"]]))
+    def stars(prefix: int, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        records = np.sort(records)
         rest = records >> bits
         same = np.concatenate([[False], rest[1:] == rest[:-1], [False]])
         shared = same[:-1] | same[1:]
         records, rest, first = records[shared], rest[shared], ~same[:-1][shared]
         if not len(records):
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-        variants = ((np.uint64(key[0]) << (np.uint64(64) - bits)) | rest) * inverse
+            return np.array([], np.int64), np.array([], np.int64)
+        variants = ((np.uint64(prefix) << (np.uint64(64) - bits)) | rest) * inverse
         fps = (variants ^ masks()[(records & np.uint64((1 << _MASK_BITS) - 1)).astype(np.int64)]).view(np.int64)
         heads = fps[np.nonzero(first)[0]][np.cumsum(first) - 1]
         # the triangle inequality makes this true; it verifies the packing
         apart = np.bitwise_count((fps ^ heads).view(np.uint64))
         assert apart.max() <= RADIUS
-        a, b = _forest(heads[~first], fps[~first])
+        return heads[~first], fps[~first]
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        parts = [stars(prefix, np.concatenate([np.frombuffer(x, np.uint64) for x in rows])) for prefix, rows in group.groupby("prefix")["records"]]
+        a, b = _forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -160,7 +166,8 @@ def links(nodes: DataFrame, passes: int = 4) -> DataFrame:
         for i in range(passes):
             first, last = (i << bits) // passes, ((i + 1) << bits) // passes
             variants = nodes.select("fp").mapInPandas(_emit(bits, first, last), "prefix long, records binary")
-            edges = variants.groupBy("prefix").applyInPandas(_collide(bits), "a long, b long")
+            # a few prefixes to a group: links that several of them show are handed on once
+            edges = variants.groupBy(F.shiftright("prefix", 2).alias("group")).applyInPandas(_collide(bits), "a long, b long")
             edges = materialize(edges.distinct(), f"links{i}")
             found = edges if found is None else found.unionByName(edges)
     finally:
