@@ -126,17 +126,59 @@ def word_distance(a: str, b: str) -> int:
     return sub + dele + ins
 
 
+def word_distances(word: str, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Edit distances of a word to others, given as columns of code points padded below (letters x words) with their sizes."""
+    steps = np.arange(len(others) + 1)[:, None]
+    row = np.repeat(steps, len(sizes), axis=1)
+    for c in word:
+        best = np.concatenate([row[:1] + 1, np.minimum(row[:-1] + (others != ord(c)), row[1:] + 1)])
+        row = np.minimum.accumulate(best - steps, axis=0) + steps
+    return row[sizes, np.arange(len(sizes))]
+
+
+def word_path(ref: list[str], hyp: list[str]) -> list[tuple[int, int]]:
+    """`dtw` of two texts' words by their edit distances, for long texts: a row at once, with two bits kept for each cell."""
+    if not ref or not hyp:
+        return []
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(hyp))}
+    sizes = np.array([len(w) for w in vocabulary])
+    others = np.zeros((max(sizes), len(sizes)), np.int32)
+    for i, w in enumerate(vocabulary):
+        others[: len(w), i] = [ord(c) for c in w]
+    at = np.array([vocabulary[w] for w in hyp])
+    known: dict[str, np.ndarray] = {}
+    far = 1 << 40
+    row = np.concatenate([[0], np.full(len(hyp), far)])
+    diagonal, up = [], []
+    for w in ref:
+        if w not in known:
+            known[w] = word_distances(w, others, sizes)
+        cost = known[w][at]
+        sums = np.cumsum(cost)
+        # steps along the row: a prefix minimum once their costs are taken out
+        new = np.concatenate([[far], np.minimum.accumulate(np.minimum(row[:-1], row[1:]) - sums + cost) + sums])
+        diagonal.append(np.packbits((row[:-1] <= row[1:]) & (row[:-1] <= new[:-1])))
+        up.append(np.packbits(row[1:] <= new[:-1]))
+        row = new
+    bit = lambda rows, i, j: rows[i][j >> 3] >> (7 - (j & 7)) & 1
+    i, j, path = len(ref) - 1, len(hyp) - 1, []
+    while i >= 0 and j >= 0:
+        path.append((i, j))
+        if bit(diagonal, i, j):
+            i, j = i - 1, j - 1
+        elif bit(up, i, j):
+            i -= 1
+        else:
+            j -= 1
+    return path[::-1]
+
+
 def align_words(ref: Column, hyp: Column) -> Column:
     """Index pairs of reference and hypothesis words along the cheapest path of their edit distances."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            out = []
-            for x, y in zip(a, b, strict=True):
-                r, h = (x or "").split(), (y or "").split()
-                cost = np.array([[word_distance(u, v) for v in h] for u in r]) if r and h else np.zeros((0, 0))
-                out.append([{"ref": i, "hyp": j} for i, j in dtw(cost)] if r and h else [])
-            yield pd.Series(out)
+            yield pd.Series([[{"ref": i, "hyp": j} for i, j in word_path((x or "").split(), (y or "").split())] for x, y in zip(a, b, strict=True)])
 
     return F.pandas_udf(run, "array<struct<ref:int,hyp:int>>")(ref, hyp)
 
