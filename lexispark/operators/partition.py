@@ -6,10 +6,14 @@ Random choices are hashes of the row's id and a seed: the same rows are chosen o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.operators.scratch import written
+
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the columns and the seed (60 bits of an MD5)."""
@@ -160,24 +164,42 @@ def weighted_choice(keys: list[str], options: dict[str, float], seed: int = 0) -
     return out
 
 
-def duration_fill(df: DataFrame, recording: str, duration: str, longest: float) -> DataFrame:
+def duration_fill(df: DataFrame, recording: str, duration: str, longest: float, range_rows: int = 100_000) -> DataFrame:
     """split number of each recording: in order, a new split when the running sum would pass `longest`.
 
-    The greedy sum is one fold over one row per recording, so this suits folders, not corpora; use `equal_total_buckets` there.
+    Recordings are dealt into ranges of about `range_rows`, written once, as another sample would draw other borders. One range after the other is
+    folded, each from the sum and split at which the one before ended: no task sees more than a range.
     """
-    per = df.groupBy(recording).agg(F.sum(duration).cast("double").alias("d"))
-    rows = per.agg(F.sort_array(F.collect_list(F.struct(F.col(recording).alias("r"), "d"))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["sum"] > 0) & (acc["sum"] + x["d"] > longest)
-        split = F.when(new, acc["split"] + 1).otherwise(acc["split"])
-        return F.struct(
-            F.when(new, x["d"]).otherwise(acc["sum"] + x["d"]).alias("sum"), split.alias("split"), F.concat(acc["out"], F.array(split)).alias("out")
-        )
-
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("split"), F.array().cast("array<int>").alias("out"))
-    zipped = rows.select(F.explode(F.arrays_zip("rows", F.aggregate("rows", zero, step, lambda a: a["out"]).alias("split"))).alias("z"))
-    return zipped.select(F.col("z.rows.r").alias(recording), F.col("z.rows.d").alias("duration"), F.col("z.split").alias("split"))
+    per = written(df.groupBy(recording).agg(F.sum(duration).cast("double").alias("duration")), "recordings")
+    parts = math.ceil(per.count() / range_rows) or 1
+    rows = written(per.repartitionByRange(parts, recording).withColumn("__range", F.spark_partition_id()), "ranges")
+    kind = dict(per.dtypes)[recording]
+
+    def fold(total: float, split: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            s, k = total, split
+            for b in batches:
+                sums, splits = [], []
+                for d in b["duration"].fillna(0.0).tolist():
+                    if s > 0 and s + d > longest:
+                        s, k = d, k + 1
+                    else:
+                        s += d
+                    sums.append(s)
+                    splits.append(k)
+                yield b.assign(split=splits, __sum=sums)
+
+        return run
+
+    out, total, split = None, 0.0, 0
+    schema = f"`{recording}` {kind}, duration double, split int, __sum double"
+    for r in range(parts):
+        part = rows.filter(F.col("__range") == r).drop("__range").coalesce(1).sortWithinPartitions(recording)
+        part = written(part.mapInPandas(fold(total, split), schema), f"range{r}")
+        out = part if out is None else out.unionByName(part)
+        last = part.agg(F.max(F.struct(F.col(recording).isNotNull(), recording, "__sum")), F.max("split")).first()
+        total, split = (last[0]["__sum"], last[1]) if last[0] is not None else (total, split)
+    return out.select(recording, "duration", "split")
 
 
 def disjoint_split(df: DataFrame, speaker: str, audio: str, test: DataFrame, rounds: int = 50) -> DataFrame:
