@@ -9,10 +9,10 @@ from lexispark.operators import ordered as O
 from lexispark.plans.common import table
 
 
-def _segments(spark, d):
-    """Events as segments of a recording (user): whole seconds, so that both engines add alike."""
+def _segments(spark, d, every=False):
+    """Events as segments of a recording (user): whole seconds, so that both engines add alike. Those with even ids, as in the SQL, or every one."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").filter("event_id % 2 = 0").withColumn("k", F.row_number().over(w))
+    e = table(spark, d, "events").filter("true" if every else "event_id % 2 = 0").withColumn("k", F.row_number().over(w))
     e = e.withColumn("start", (F.col("k") * 4 + F.col("event_id") % 5).cast("double")).withColumn("end", F.col("start") + 1 + F.floor(F.col("value")) % 7)
     return e.select("user_id", "event_id", F.col("event_type").alias("spk"), "start", F.col("end").cast("double").alias("end"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 4 == 0, ".").otherwise("")).alias("text"))
 

@@ -16,7 +16,7 @@ def glue_overlapping(spark, d):
 
 def overlaps_removed(spark, d):
     """Rows only: a fold that SQL has no form for; the tests check it."""
-    return Z.remove_overlaps(_segments(spark, d), "user_id", "start", "end", "spk")
+    return Z.remove_overlaps(_segments(spark, d, every=True), "user_id", "start", "end", "spk")
 
 
 def word_speakers(spark, d):

@@ -61,3 +61,16 @@ def test_word_alignment_is_whole(spark, pairs):
 @pytest.mark.parametrize(("name", "key", "table"), [("number_words", "o_orderkey", "orders"), ("ctc_positions", "vec_id", "embeddings")])
 def test_tables_are_whole(spark, duck, name, key, table):
     assert {r[0] for r in QUERIES[name](spark, DATA).select(key).collect()} == {r[0] for r in duck.execute(f"SELECT {key} FROM {table}").fetchall()}
+
+
+def test_overlaps_removed_is_whole(spark, duck):
+    from lexispark.operators.diarize import cut_overlaps
+
+    rows = duck.execute("SELECT user_id, event_type, event_id, value FROM events ORDER BY user_id, event_id").fetchall()
+    of: dict[int, list] = {}
+    for user, kind, event, value in rows:
+        mine = of.setdefault(user, [])
+        start = (len(mine) + 1) * 4 + event % 5
+        mine.append((float(start), float(start + 1 + int(value) % 7), kind))
+    expected = sorted((u, *s) for u, mine in of.items() for s in cut_overlaps(mine))
+    assert sorted(tuple(r) for r in QUERIES["overlaps_removed"](spark, DATA).collect()) == expected
