@@ -18,6 +18,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     spans: list[list[int]] = []
     last = -2
     for i, m in enumerate(_WORD.finditer(raw)):
-        if hit[i]:
+        if i < len(hit) and hit[i]:
             if last == i - 1:
                 spans[-1][1] = m.end()
             else:
@@ -135,26 +136,42 @@ def _windows(items: DataFrame, window: int, lengths: list[int] | None) -> DataFr
     )
 
 
+def _spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """`spans_of` texts and the positions of their hit words (null for none)."""
+    for texts, positions in batches:
+        out = []
+        for text, at in zip(texts, positions, strict=True):
+            if at is None:
+                out.append([])
+                continue
+            hit = np.zeros(max(at) + 1, bool)
+            hit[at] = True
+            out.append([{"start": a, "end": b} for a, b in spans_of(text, hit)])
+        yield pd.Series(out)
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int) -> DataFrame:
-    """What `_scan` finds (without spans), by a shuffle on the windows' words."""
+    """What `_scan` finds, by a shuffle on the windows' words."""
+    ship(docs.sparkSession)
     own = materialize(_windows(benchmark, window, None).select(F.col("gram").alias("__g"), F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("item")).distinct(), "windows")
     lengths = sorted(r[0] for r in own.select(F.size(F.split("__g", " "))).distinct().collect())
     rows = docs.select(F.col("doc_id").alias("id"), F.col(text_col).alias("text"))
     hits = _windows(rows, window, lengths or [window]).join(own, F.col("gram") == F.col("__g"))
     hits = hits.groupBy("id", "th").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))))).cast("long").alias("n_hit"),
+        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("pos"),
         F.array_sort(F.collect_set("item")).alias("items"),
     )
-    hits = materialize(hits.select(F.col("id").alias("__i"), F.col("th").alias("__t"), "n_hit", "items"), "hits")
+    hits = materialize(hits.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("pos").alias("__pos"), F.size("pos").cast("long").alias("n_hit"), "items"), "hits")
     n = F.size(F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))).cast("long")
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left").drop("__i", "__t")
+    spans = F.pandas_udf(_spans, "array<struct<start:int,end:int>>")(F.col(text_col), F.col("__pos"))
     return joined.withColumns({"n_words": n, "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")),
-                               "hit_spans": F.lit(None).cast("array<struct<start:int,end:int>>")})
+                               "hit_spans": spans}).drop("__pos")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), window: int = WINDOW,
          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The given columns of `docs` with n_words, n_hit, items (sorted ids as strings) and hit_spans (null on the joined way)."""
+    """The given columns of `docs` with n_words, n_hit, items (sorted ids as strings) and hit_spans."""
     bench = benchmark.select(F.col("item_id").alias("id"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     wanted = docs.select(*dict.fromkeys([*columns, text_col]))
@@ -183,7 +200,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`docs` without contaminated documents (mode "document"), or with the hit spans cut out of their texts ("span").
 
-    Columns stay the same. Spans need the broadcast way.
+    Columns stay the same.
     """
     names = docs.columns
     found = scan(docs, benchmark, text_col, tuple(names), broadcast_bytes=broadcast_bytes)

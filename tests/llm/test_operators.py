@@ -211,6 +211,18 @@ def test_decontam(spark, documents):
     assert decontam.digest(documents(rows), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontam_spans_joined(spark, documents):
+    bench = spark.createDataFrame([(10, "One two three four five six seven eight nine ten eleven"), (9, "short Item"), (8, ""), (None, "zz yy")], "item_id long, text string")
+    rows = [(1, "so one TWO, three four five six seven eight nine ten! end"), (2, "a short item, a short one"), (3, None), (5, "é zz-yy é, ça short ITEM zz yy"), (5, "😀 zz yy"), (6, "clean"),
+            (7, "one two three four five six seven eight nine ten eleven")]
+    key = lambda df: sorted((r.doc_id, r.hit_spans) for r in df.select("doc_id", "hit_spans").collect())
+    assert key(decontam.scan(documents(rows), bench, broadcast_bytes=0)) == key(decontam.scan(documents(rows), bench))
+    got = decontam.clean(documents(rows), bench, "span", broadcast_bytes=0)
+    assert got.columns == documents(rows).columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, "so ! end"), (2, "a , a short one"), (3, ""), (5, "é  é, ça "), (5, "😀 "), (6, "clean"), (7, "")]
+    assert [r.text for r in got.filter("doc_id = 3").collect()] == [None]
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
