@@ -202,19 +202,23 @@ def duration_fill(df: DataFrame, recording: str, duration: str, longest: float,
     return out.select(recording, "duration", "split")
 
 
-def disjoint_split(df: DataFrame, speaker: str, audio: str, test: DataFrame, rounds: int = 50) -> DataFrame:
+def disjoint_split(df: DataFrame, speaker: str, audio: str, test: DataFrame) -> DataFrame:
     """speaker, split: test holds the speakers of `test` and all that share audio with it, directly or not.
 
-    Breadth-first from the test side; only speakers new in a round look further. Stops with an error if no train speaker is left.
+    Breadth-first from the test side until a round reaches nobody new; only speakers new in a round look further. Each round is a written table, and
+    rounds are put together now and then, so that plans stay short. Stops with an error if no train speaker is left.
     """
-    pairs = df.select(speaker, audio).distinct()
-    reached = frontier = test.select(speaker).distinct()
-    for _ in range(rounds):
+    pairs = written(df.select(speaker, audio).distinct(), "pairs")
+    reached = frontier = written(test.select(speaker).distinct(), "test")
+    rounds = 0
+    while True:
         touched = pairs.join(frontier, speaker, "left_semi").select(audio).distinct()
-        new = pairs.join(touched, audio, "left_semi").select(speaker).distinct().join(reached, speaker, "left_anti").cache()
+        new = written(pairs.join(touched, audio, "left_semi").select(speaker).distinct().join(reached, speaker, "left_anti"), "reached")
         if not new.take(1):
             break
-        reached, frontier = reached.unionByName(new), new
+        reached, frontier, rounds = reached.unionByName(new), new, rounds + 1
+        if rounds % 10 == 0:
+            reached = written(reached.repartition(speaker), "reached")
     out = df.select(speaker).distinct().join(reached.withColumn("split", F.lit("test")), speaker, "left")
     out = out.select(speaker, F.coalesce("split", F.lit("train")).alias("split"))
     if not out.filter("split = 'train'").take(1):

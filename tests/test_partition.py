@@ -29,3 +29,11 @@ def test_duration_fill(spark, range_rows):
 
 def test_duration_fill_empty(spark):
     assert S.duration_fill(spark.createDataFrame([], "rec long, d double"), "rec", "d", 20.0).count() == 0
+
+
+def test_disjoint_split_follows_long_chains(spark):
+    """Speaker i shares audio with speaker i + 1: a chain of 55 steps, and one apart."""
+    chain = [(f"s{i:02d}", a) for i in range(56) for a in (i, i + 1)]
+    df = spark.createDataFrame([*chain, ("apart", 999)], "spk string, audio long")
+    got = {r.spk: r.split for r in S.disjoint_split(df, "spk", "audio", df.filter("spk = 's00'")).collect()}
+    assert got == {s: "test" for s, _ in chain} | {"apart": "train"}
