@@ -226,22 +226,34 @@ def disjoint_split(df: DataFrame, speaker: str, audio: str, test: DataFrame) ->
     return out
 
 
+def _next_other(df: DataFrame, part: str, group: str, utt: str) -> DataFrame:
+    """__p: the next `utt` of another `group` in the part's hashed order, null where none follows; __first: the part's first row, with its own __p."""
+    back = Window.partitionBy(part).orderBy(F.desc("__h"), F.desc(utt))
+    change = F.lag(utt).over(back).isNotNull() & ~F.lag(group).over(back).eqNullSafe(F.col(group))
+    marked = df.withColumn("__p", F.when(change, F.lag(utt).over(back)))
+    marked = marked.withColumn("__p", F.last("__p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.min(F.struct("__h", F.col(utt).alias("u"), F.col(group).alias("g"), F.col("__p").alias("p"))).over(Window.partitionBy(part))
+    return marked.withColumn("__first", first)
+
+
 def balanced_pairs(df: DataFrame, speaker: str, session: str, utt: str, seed: int = 0) -> DataFrame:
     """a, b, same: for each utterance one partner of the same speaker, of another session if there is one, and one of another speaker.
 
-    Partners come from neighbours in hashed orders, so no pairs are listed that aren't used.
+    Partners are the next fitting rows in hashed orders, which begin again at their end, so no pairs are listed that aren't used. Utterances without a
+    speaker have no partner.
     """
-    u = df.withColumn("__h", uniform(utt, seed=seed))
+    u = df.filter(F.col(speaker).isNotNull()).withColumn("__h", uniform(utt, seed=seed))
     own = Window.partitionBy(speaker).orderBy("__h", utt)
-    other_session = F.min(F.struct(F.col("__h"), F.col(utt).alias("u"), F.col(session).alias("s"))).over(Window.partitionBy(speaker))
-    pos = u.withColumn("__n", F.lead(utt).over(own)).withColumn("__o", other_session)
-    partner = F.when(F.col("__o")["s"] != F.col(session), F.col("__o")["u"]).otherwise(F.col("__n"))
-    positives = pos.select(F.col(utt).alias("a"), partner.alias("b"), F.lit(1).alias("same")).filter("b is not null and a <> b")
-    # a hashed cell holds utterances of several speakers; neighbours by hash there
-    cells = u.withColumn("__c", F.pmod(F.xxhash64(utt, F.lit(seed)), F.lit(64)))
-    near = Window.partitionBy("__c").orderBy("__h", utt)
-    neg = cells.select(F.col(utt).alias("a"), F.lead(utt).over(near).alias("b"), F.col(speaker).alias("sa"), F.lead(speaker).over(near).alias("sb"))
-    negatives = neg.filter("b is not null and sa <> sb").select("a", "b", F.lit(0).alias("same"))
+    pos = _next_other(u, speaker, session, utt).withColumn("__n", F.coalesce(F.lead(utt).over(own), F.col("__first")["u"]))
+    around = F.when(~F.col("__first")["g"].eqNullSafe(F.col(session)), F.col("__first")["u"]).otherwise(F.col("__first")["p"])
+    positives = pos.select(F.col(utt).alias("a"), F.coalesce("__p", around, "__n").alias("b"), F.lit(1).alias("same")).filter("a <> b")
+    # a hashed cell holds utterances of several speakers; where no other one follows in it, the next cells' first rows do
+    cells = _next_other(u.withColumn("__c", F.pmod(F.xxhash64(utt, F.lit(seed)), F.lit(64))), "__c", speaker, utt)
+    heads = cells.groupBy("__c").agg(F.first("__first").alias("f")).agg(F.sort_array(F.collect_list(F.struct(F.col("__c").alias("c"), F.col("f")))).alias("__heads"))  # 64 at most
+    rows = cells.crossJoin(F.broadcast(heads))
+    after = F.concat(F.filter("__heads", lambda x: x["c"] > F.col("__c")), F.filter("__heads", lambda x: x["c"] <= F.col("__c")))
+    next_head = F.get(F.filter(F.transform(after, lambda x: F.when(x["f"]["g"] != F.col(speaker), x["f"]["u"]).otherwise(x["f"]["p"])), lambda x: x.isNotNull()), F.lit(0))
+    negatives = rows.select(F.col(utt).alias("a"), F.coalesce("__p", next_head).alias("b"), F.lit(0).alias("same")).filter("b is not null")
     both = positives.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
     return both.unionByName(negatives.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct())
 
