@@ -62,17 +62,18 @@ def fingerprint(text: str | None) -> int:
     return int(sum(1 << i for i in np.nonzero(2 * votes > len(hashes))[0].tolist()))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", text_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row; on request th (a hash of the text)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.xxhash64(text_col).alias("th")] if text_hash else []))
+    more = ["th"] if text_hash else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", th long" if text_hash else ""))
 
 
 def _prefix_bits(nodes: int) -> int:
@@ -178,16 +179,20 @@ def links(nodes: DataFrame, passes: int = 4) -> DataFrame:
     return found.distinct()
 
 
-def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", passes: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (the smallest id that links reach) of every row."""
-    prints = materialize(fingerprints(docs, text_col, id_col), "fingerprints")
+def _named(prints: DataFrame, passes: int) -> DataFrame:
+    """__fp, component_id and root of every fingerprint of `prints` (doc_id, fp)."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, passes)).withColumnRenamed("node", "__n")
     placed = nodes.join(roots, F.col("fp") == F.col("__n"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "placed")
     least = placed.groupBy(F.col("root").alias("__r")).agg(F.min("least").alias("component_id"))
-    named = materialize(placed.join(least, F.col("root") == F.col("__r")).select(F.col("fp").alias("__fp"), "component_id"), "named")
-    return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    return materialize(placed.join(least, F.col("root") == F.col("__r")).select(F.col("fp").alias("__fp"), "component_id", "root"), "named")
+
+
+def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", passes: int = 4) -> DataFrame:
+    """doc_id, fp and component_id (the smallest id that links reach) of every row."""
+    prints = materialize(fingerprints(docs, text_col, id_col), "fingerprints")
+    return prints.join(_named(prints, passes), F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -195,7 +200,22 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", passes: int = 4) -> DataFrame:
-    """The documents of `docs` whose id is the smallest of their group; rows without an id stay. Columns stay the same."""
-    gone = groups(docs, text_col, id_col, passes).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lx_id")).distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone, docs[id_col] == F.col("__lx_id"), "left_anti")
+    """One document of each group: of its smallest id, or where that is repeated or null, one row of it by hashes. Columns stay the same.
+
+    Rows are told apart by id and a hash of the text, so a repeated id does not take rows of other groups with it.
+    """
+    prints = materialize(fingerprints(docs, text_col, id_col, True), "fingerprints")
+    rows = prints.join(_named(prints, passes), F.col("fp") == F.col("__fp")).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(rows, "rows")
+    best = rows.groupBy(F.col("root").alias("__r")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
+    first = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("th") == F.col("best.th"))
+    ranked = rows.join(best, F.col("root") == F.col("__r")).select(F.col("doc_id").alias("__lx_id"), F.col("th").alias("__lx_th"), "copies", first.alias("first"))
+    ranked = materialize(ranked, "ranked")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__lx_id")) & (F.xxhash64(docs[text_col]) == F.col("__lx_th"))
+    kept = docs.join(ranked.filter("not first"), same, "left_anti")
+    several = ranked.filter("first and copies > 1")
+    if not several.take(1):
+        return kept
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    one = docs.join(several, same, "left_semi").groupBy(F.col(id_col).alias("__lx_id"), F.xxhash64(text_col).alias("__lx_th")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return kept.join(several, same, "left_anti").unionByName(one.select("row.*"))

@@ -258,6 +258,16 @@ def test_simhash(spark, documents):
     assert got == expected
 
 
+def test_simhash_dedup_repeated_ids(spark, documents):
+    a, b, c = "the same words in a text", "quite another text about ships", "and a third one of copies without id"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, "alone"), (None, c), (None, c), (None, a), (5, "twice here"), (5, "twice here")]
+    got = simhash.dedup(documents(rows))
+    assert got.columns == documents(rows).columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, c), (1, a), (2, b), (4, "alone"), (5, "twice here")]
+    unique = documents([(1, a), (2, a), (3, b)])
+    assert sorted(r.doc_id for r in simhash.dedup(unique).collect()) == [1, 3]
+
+
 def test_links(spark):
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(60)]
