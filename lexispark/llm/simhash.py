@@ -9,7 +9,8 @@ rounds over disjoint prefix ranges, so that the disk holds a part of them at a t
 
 Within a group, each run of fingerprints of one variant is a star, not all its pairs; a group hands on a spanning forest of
 its stars, and connected components follow by alternating large and small stars over tables in the shared folder.
-Equal fingerprints are one node, so copies cost one row each.
+A fingerprint of a cluster shows its links in as many groups as hold its shared variants, so groups are sized by volume: as
+many neighbouring prefixes as make GROUP variants, whatever the table's size. Equal fingerprints are one node, so copies cost one row each.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, linked like any other; rows that repeat an id are rows
 of their own; a null id is reported, but never the smallest one of a group with others; an empty table gives an empty table.
@@ -31,6 +32,8 @@ from lexispark.llm.components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 _ODD = 0x9E3779B97F4A7C15
 _MASK_BITS = 12
+#: Variants (of 8 bytes) that a group, and that an emitting task and pass, has about.
+GROUP = 4_000_000
 
 
 def masks() -> np.ndarray:
@@ -81,6 +84,12 @@ def _prefix_bits(nodes: int) -> int:
     return max(_MASK_BITS, int(np.ceil(np.log2(max(nodes, 1) * 2081 / 2e6))))
 
 
+def _group_bits(nodes: int, prefix_bits: int) -> int:
+    """The low bits of a prefix that a group spans."""
+    a_prefix = max(nodes, 1) * 2081 / 2**prefix_bits
+    return min(prefix_bits, max(0, int(np.log2(max(GROUP / a_prefix, 1.0)))))
+
+
 def _emit(prefix_bits: int, first: int, last: int, chunk: int = 1024):
     shift = np.uint64(64 - prefix_bits)
 
@@ -157,7 +166,11 @@ def links(nodes: DataFrame, passes: int = 4) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of the links of at most 4 bits."""
     spark = nodes.sparkSession
     ship(spark)
-    bits = _prefix_bits(nodes.count())
+    n = nodes.count()
+    bits = _prefix_bits(n)
+    span = _group_bits(n, bits)
+    # written tables have few files: the variants decide how many tasks emit them
+    nodes = nodes.select("fp").repartition(max(1, int(np.ceil(n * 2081 / passes / GROUP))), "fp")
     found = None
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, None)
@@ -166,9 +179,11 @@ def links(nodes: DataFrame, passes: int = 4) -> DataFrame:
     try:
         for i in range(passes):
             first, last = (i << bits) // passes, ((i + 1) << bits) // passes
-            variants = nodes.select("fp").mapInPandas(_emit(bits, first, last), "prefix long, records binary")
-            # a few prefixes to a group: links that several of them show are handed on once
-            edges = variants.groupBy(F.shiftright("prefix", 2).alias("group")).applyInPandas(_collide(bits), "a long, b long")
+            variants = nodes.mapInPandas(_emit(bits, first, last), "prefix long, records binary")
+            # links that several prefixes of a group show are handed on once; twice as many partitions as groups, so that few share one
+            variants = variants.withColumn("group", F.shiftright(F.col("prefix") - first, span))
+            variants = variants.repartition(2 * ((last - first - 1 >> span) + 1), "group")
+            edges = variants.groupBy("group").applyInPandas(_collide(bits), "a long, b long")
             edges = materialize(edges.distinct(), f"links{i}")
             found = edges if found is None else found.unionByName(edges)
     finally:

@@ -339,3 +339,23 @@ def test_pages(spark):
     assert (got[1].markup, got[1].suffix, got[1].host, got[1].domain) == ("fr", "fr", "www.site.example.de", "example.de")
     assert got[1]["__lx_text"].split() == ["bonjour", "à", "tous"]
     assert langid.digest(df, spark.read.parquet(f"{DATA}/documents.parquet")).count() == 2
+
+
+def test_links_of_a_cluster(spark, monkeypatch):
+    """A cluster of 700 near fingerprints and a chain stay whole, and each group hands on a forest only, however small the groups are."""
+    r = random.Random(9)
+    centre = r.getrandbits(64)
+    cluster = {centre ^ sum(1 << k for k in r.sample(range(64), r.choice((1, 2)))) for _ in range(700)} | {centre}
+    chain = [r.getrandbits(64)]
+    for _ in range(12):
+        chain.append(chain[-1] ^ sum(1 << k for k in r.sample(range(64), 4)))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(signed(v),) for v in sorted({*cluster, *chain})], "fp long")
+    for size in (simhash.GROUP, 20_000):
+        monkeypatch.setattr(simhash, "GROUP", size)
+        roots = {x.node: x.root for x in components.components(simhash.links(nodes, 3)).collect()}
+        for members in (cluster, set(chain)):
+            least = min(signed(v) for v in members)
+            assert {roots.get(signed(v), signed(v)) for v in members} == {least}
+    monkeypatch.undo()
+    assert simhash.links(nodes).count() <= 4 * len(cluster | set(chain))
