@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexispark.session import ship
+
 # Number words.
 EN = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 EN_TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -178,6 +180,7 @@ def to_words(text: Column, lang: str) -> Column:
         for batch in batches:
             yield batch.map(lambda t: numbers_to_words(t, lang) if isinstance(t, str) and re.search(r"\d", t) else t)
 
+    ship()
     udf = F.pandas_udf(run, "string")
     return udf(text)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,14 +87,21 @@ def split_sentences(text: Column, marks: str = ".?!;") -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(rf"[^{marks}]+[{marks}]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
-_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-_TO = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+@lru_cache(maxsize=1)
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition leaves one ASCII character, and those that it leaves several of."""
+    plain = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000}
+    return {k: v for k, v in plain.items() if len(v) == 1}, {k: v for k, v in plain.items() if len(v) > 1}
 
 
 def transliterate(text: Column) -> Column:
-    """Latin letters without their accents; other characters beyond ASCII go."""
-    plain = F.translate(_each(text, [("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss")]), _FROM, _TO)
-    return F.regexp_replace(plain, r"[^\u0000-\u007f]", "")
+    """ASCII: characters are decomposed (NFKD) and what is beyond ASCII then goes, marks first of all."""
+    one, several = _decomposed()
+    out = F.translate(text, "".join(one), "".join(one.values()))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    out = F.when(out.rlike(f"[{''.join(several)}]"), spread).otherwise(out)
+    return F.regexp_replace(out, r"[^\u0000-\u007f]", "")
 
 
 def remove_special(text: Column, keep: str = r"\p{L}\p{N}\s.,;:!?'\"()%€$&+=@*/°_-") -> Column:
@@ -183,11 +191,12 @@ def detokenise(text: Column) -> Column:
 
 
 #: Openings of texts that a recogniser makes up on silence.
-MADE_UP = ["sous-titr", "subtitles by", "thank you for watching", "thanks for watching", "merci d'avoir regard", "abonnez-vous", "amara.org"]
+MADE_UP = ["sous-titres réalisés par", "merci d'avoir regardé cette vidéo", "voir une autre vidéo"]
 
 
 def made_up(text: Column) -> Column:
-    low = F.trim(F.lower(F.regexp_replace(text, r"\[[^\]]*\]|\*[^*]*\*", "")))
+    """Whether a text, without its marks [*], begins with one of these."""
+    low = F.lower(F.regexp_replace(F.regexp_replace(text, r"^\[\*\] | \[\*\]", ""), r"^\s+|\s+$", ""))
     return reduce(lambda a, p: a | F.startswith(low, F.lit(p)), MADE_UP, F.lit(False))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators.join import best_overlap
 from lexispark.operators.ordered import _sorted_rows, overlap_flags
+from lexispark.session import ship
 
 
 def word_speakers(words: DataFrame, turns: DataFrame, keys: list[str], word_id: str, word: str) -> DataFrame:
@@ -72,6 +73,7 @@ def cut_overlaps(segments: list[tuple[float, float, str]]) -> list[tuple[float,
 
 def remove_overlaps(df: DataFrame, rec: str, start: str, end: str, speaker: str) -> DataFrame:
     """rec, start, end, speaker without overlaps; a recording is folded at a time."""
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[rec]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

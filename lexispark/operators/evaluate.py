@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.aggregate import f1, wer_ratio
+from lexispark.session import ship
 
 COUNTS = "struct<hits:int,sub:int,del:int,ins:int>"
 
@@ -46,6 +47,7 @@ def edit_count_column(ref: Column, hyp: Column, unit: str = "word") -> Column:
         for a, b in batches:
             yield pd.DataFrame([edit_counts(cut(x), cut(y)) for x, y in zip(a, b, strict=True)], columns=["hits", "sub", "del", "ins"])
 
+    ship()
     return F.pandas_udf(run, COUNTS)(ref, hyp)
 
 
@@ -87,6 +89,7 @@ def bootstrap(counted: DataFrame, errors: str, total: str, key: str, resamples:
                 sums[:, 1] += weight * t
         yield pd.DataFrame({"r": np.arange(resamples), "e": sums[:, 0], "t": sums[:, 1]})
 
+    ship(counted.sparkSession)
     rows = counted.select(F.xxhash64(key).alias("h"), F.col(errors).cast("double").alias("e"), F.col(total).cast("double").alias("t"))
     per = rows.mapInPandas(run, "r long, e double, t double").groupBy("r").agg((F.sum("e") / F.nullif(F.sum("t"), F.lit(0.0))).alias("x"))
     return per.agg(F.percentile("x", 0.05).alias("low"), F.percentile("x", 0.95).alias("high"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.stddev_pop("x").alias("stdev"))
@@ -180,11 +183,15 @@ def align_words(ref: Column, hyp: Column) -> Column:
         for a, b in batches:
             yield pd.Series([[{"ref": i, "hyp": j} for i, j in word_path((x or "").split(), (y or "").split())] for x, y in zip(a, b, strict=True)])
 
+    ship()
     return F.pandas_udf(run, "array<struct<ref:int,hyp:int>>")(ref, hyp)
 
 
 def ctc_align(emission: np.ndarray, tokens: list[int], blank: int = 0) -> list[tuple[int, int, int, float]]:
-    """(token index, first frame, last frame + 1, mean probability) of tokens along the best path through log probabilities (frames x labels)."""
+    """(token index, first frame, last frame + 1, mean probability) of tokens along the best path through log probabilities (frames x labels).
+
+    The path ends at the frame where the last token is likeliest; a frame that stays on a token counts with the likelier of token and blank.
+    """
     frames, n = emission.shape[0], len(tokens)
     if not n or frames < n:
         return []
@@ -197,11 +204,12 @@ def ctc_align(emission: np.ndarray, tokens: list[int], blank: int = 0) -> list[t
         keep = trellis[t, 1:] + np.maximum(stay[t], emission[t, tokens])
         came[t + 1, 1:] = move >= keep
         trellis[t + 1, 1:] = np.maximum(move, keep)
-    t, j, found = frames, n, [[] for _ in tokens]
+    t, j, found = int(np.argmax(trellis[:, n])), n, [[] for _ in tokens]
     while j > 0 and t > 0:
-        found[j - 1].append(t - 1)
+        own = emission[t - 1, tokens[j - 1]]
+        found[j - 1].append((t - 1, np.exp(own if came[t, j] else max(own, stay[t - 1]))))
         j, t = (j - 1, t - 1) if came[t, j] else (j, t - 1)
-    return [(i, min(f), max(f) + 1, float(np.exp(emission[min(f), tokens[i]]))) for i, f in enumerate(found) if f]
+    return [(i, f[-1][0], f[0][0] + 1, float(np.mean([p for _, p in f]))) for i, f in enumerate(found) if f]
 
 
 def positions(df: DataFrame, key: str, emission: str, tokens: str, seconds_per_frame: float) -> DataFrame:
@@ -216,6 +224,7 @@ def positions(df: DataFrame, key: str, emission: str, tokens: str, seconds_per_f
             ]
             yield pd.DataFrame(rows, columns=[key, "i", "start", "end", "conf"])
 
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("k"), F.col(emission).alias("e"), F.col(tokens).alias("t")).mapInPandas(run, f"`{key}` {kind}, i long, start double, end double, conf double")
 

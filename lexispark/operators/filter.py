@@ -9,10 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FRENCH = r"^[A-Za-zÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸÆŒàâäçéèêëîïôöùûüÿæœ0-9\s'’.,;:!?()\"«»%€$&/+*=°@_-]*$"
-#: Knots (seconds, characters) of the curves above or below which a transcript is too long or too short for its duration.
-TOO_LONG = ((0.0, 20.0), (1.0, 40.0), (5.0, 130.0), (10.0, 240.0), (20.0, 460.0), (30.0, 680.0))
-TOO_SHORT = ((0.0, 0.0), (1.0, 1.0), (5.0, 8.0), (10.0, 25.0), (20.0, 70.0), (30.0, 120.0))
+from lexispark.functions.text import transliterate
+
+#: Fixed value: what a French transcript may consist of.
+FRENCH = r"^[0-9a-zA-ZàâäæçéèêëîïôœùûüÿÀÂÄÆÇÉÈÊËÎÏÔŒÙÛÜŸ'’ \-.,;:!?]+$"
+#: Knots (seconds, characters) of the curves above or below which a transcript is too long or too short for its duration.
+TOO_LONG = ((0.5, 30.0), (1.0, 50.0), (5.0, 200.0), (10.0, 350.0), (20.0, 580.0), (30.0, 750.0))
+TOO_SHORT = ((0.5, 2.0), (1.0, 4.0), (5.0, 12.0), (10.0, 25.0), (20.0, 42.0), (30.0, 60.0))
 
 
 def keep_and_rejected(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +105,8 @@ def backchannel_only(text: Column, words: Sequence[str], most: int = 4) -> Colum
 
 
 def suspicious(text: Column) -> Column:
-    """A letter three times in a row, or a word that begins with a doubled letter."""
-    low = F.lower(text)
-    return low.rlike(r"([a-z])\1{2,}") | low.rlike(r"(^|[^a-z])([a-z])\2")
+    """A small letter three times in a row, a word that begins with a doubled letter once accents are gone, or "familyfont"."""
+    return text.rlike(r"([a-z])\1{2,}") | F.lower(transliterate(text)).rlike(r"(?<![a-z0-9_])([a-z])\1") | F.contains(text, F.lit("familyfont"))
 
 
 def language_accepted(scores: Column, target: str, gap: float = 0.1) -> Column:

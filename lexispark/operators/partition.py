@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.operators.scratch import written
+from lexispark.session import ship
 
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
@@ -25,12 +26,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_idx", key: list[s
     """Rows numbered from 0 by `order`, per key or over all.
 
     Over all, rows are range-partitioned and numbered within their range, and ranges are offset by the counts before them: no task sees all rows.
+    The ranged rows are written once, since another run of the plan would draw other borders and the counts would not belong to its rows.
     """
     if key:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long") - 1)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__part", F.shiftright("__id", 33))
+    ranged = written(ranged, "ranged").withColumn("__part", F.shiftright("__id", 33))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     counts = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
@@ -170,6 +172,7 @@ def duration_fill(df: DataFrame, recording: str, duration: str, longest: float,
     Recordings are dealt into ranges of about `range_rows`, written once, as another sample would draw other borders. One range after the other is
     folded, each from the sum and split at which the one before ended: no task sees more than a range.
     """
+    ship(df.sparkSession)
     per = written(df.groupBy(recording).agg(F.sum(duration).cast("double").alias("duration")), "recordings")
     parts = math.ceil(per.count() / range_rows) or 1
     rows = written(per.repartitionByRange(parts, recording).withColumn("__range", F.spark_partition_id()), "ranges")

@@ -28,11 +28,11 @@ def dev_speakers(spark, d):
 
 
 def shards(spark, d):
-    return S.shards_of_size(table(spark, d, "documents").select("doc_id"), ["doc_id"], 64)
+    return S.shards_of_size(table(spark, d, "documents").select("doc_id", "lang", "source"), ["doc_id"], 64)
 
 
 def even_shards(spark, d):
-    t = table(spark, d, "documents").select("doc_id")
+    t = table(spark, d, "documents").select("doc_id", "lang", "source")
     return S.even_shards(t, ["doc_id"], 7, t.count())
 
 

@@ -142,7 +142,7 @@ def segments_inside(spark, d):
 
 
 def charset_ok(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike("^[A-Za-z0-9\\s.,;:!?'()-]*$").alias("ok"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(P.FRENCH).alias("ok"))
 
 
 def coherence_curve(spark, d):
@@ -274,7 +274,7 @@ SELECT CASE WHEN s < 0 THEN 'negative_start' WHEN e <= s THEN 'end_before_start'
 y AS (SELECT *, CASE WHEN s0 IS NOT NULL THEN s0 WHEN e0 IS NOT NULL AND d0 IS NOT NULL THEN e0 - d0 WHEN e0 IS NULL AND d0 IS NOT NULL THEN 0 END AS s FROM x)
 SELECT l_orderkey, l_linenumber, s AS start, coalesce(e0, s + d0) AS "end", coalesce(d0, e0 - s) AS duration FROM y""",
     "segments_inside": """SELECT o_orderkey, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity < o_totalprice / 5000 AND l_quantity + l_linenumber <= o_totalprice / 5000 + 0.25 GROUP BY 1""",
-    "charset_ok": r"""SELECT doc_id, regexp_full_match(text, '[A-Za-z0-9\s.,;:!?''()-]*') AS ok FROM documents""",
+    "charset_ok": "SELECT doc_id, regexp_matches(text, '" + P.FRENCH.replace("'", "''") + "') AS ok FROM documents",
     "coherence_curve": f"""WITH t AS (SELECT doc_id, n_chars, (doc_id % 40)::DOUBLE AS dur FROM documents)
 SELECT doc_id, round({_spline_sql(P.TOO_LONG)}, 6) AS hi, n_chars > {_spline_sql(P.TOO_LONG)} AS too_long, n_chars < {_spline_sql(P.TOO_SHORT)} AS too_short FROM t""",
     "words_blacklist": r"""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(^|[^\p{L}\p{N}_])(the|que|der)($|[^\p{L}\p{N}_])')""",
@@ -282,9 +282,9 @@ SELECT doc_id, round({_spline_sql(P.TOO_LONG)}, 6) AS hi, n_chars > {_spline_sql
     "backchannel_turns": r"""WITH t AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:(turn % 6 + 1)::INT], ' ') AS t FROM conversations),
 k AS (SELECT conv_id, turn, [x FOR x IN string_split_regex(lower(regexp_replace(t, '[^\p{L}\p{N}\s''-]', ' ', 'g')), '\s+') IF x <> ''] AS w FROM t)
 SELECT conv_id, turn, len(w) > 0 AND len(w) <= 4 AND len([x FOR x IN w IF x NOT IN ('the', 'and', 'of', 'that', 'in', 'is', 'he', 'it')]) = 0 AS backchannel FROM k""",
-    "suspicious_entries": "SELECT doc_id, "
-    + " OR ".join(f"regexp_matches(lower(text), '{c}{{3}}|(^|[^a-z]){c}{c}')" for c in "abcdefghijklmnopqrstuvwxyz")
-    + " AS suspicious FROM documents",
+    "suspicious_entries": "SELECT doc_id, contains(text, 'familyfont') OR "
+    + " OR ".join(f"regexp_matches(text, '{c}{{3}}') OR regexp_matches(t, '(^|[^a-z0-9_]){c}{c}')" for c in "abcdefghijklmnopqrstuvwxyz")
+    + " AS suspicious FROM (SELECT *, regexp_replace(lower(strip_accents(nfc_normalize(text))), '[^\\x00-\\x7F]', '', 'g') AS t FROM documents)",
     "special_characters": r"""WITH c AS (SELECT DISTINCT doc_id, unnest(string_split(text, '')) AS ch FROM documents)
 SELECT ch, min(doc_id) AS example, count(*) AS n_docs, unicode(ch) AS code FROM c WHERE NOT regexp_matches(ch, '^[A-Za-z0-9\s.,;:!?''-]*$') GROUP BY ch""",
     "blacklist_anti": """SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1""",

@@ -17,9 +17,12 @@ def _field(i: int) -> Column:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """utt, text: the first field and the rest, spaces collapsed; of repeated ids the greatest text stays."""
-    rows = _lines(spark, path).select(_field(0).alias("utt"), F.regexp_replace(F.trim(F.regexp_extract("value", r"^\s*\S+(.*)$", 1)), r"\s+", " ").alias("text"))
-    return keep_one(rows.withColumn("o", F.col("text")), ["utt"], "o", True).drop("o")
+    """utt, text: the first field and the rest, spaces collapsed; of repeated ids the last line stays."""
+    # within a split of a file the id follows the lines; splits follow one another by their start
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("o")).filter(F.trim("value") != "")
+    rows = lines.select(_field(0).alias("utt"), F.regexp_replace(F.trim(F.regexp_extract("value", r"^\s*\S+(.*)$", 1)), r"\s+", " ").alias("text"), "o")
+    return keep_one(rows, ["utt"], "o", True).drop("o")
 
 
 def read_pairs(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:

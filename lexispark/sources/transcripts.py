@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import clock_seconds
+from lexispark.session import ship
 
 SEGMENT = "speaker string, start double, end double, text string"
 
@@ -67,7 +68,29 @@ def read_simple_csv(spark: SparkSession, path: str, separator: str = ";") -> Dat
     return df.select("text", number("start").alias("start"), F.coalesce(number("end"), number("start") + number("duration")).alias("end")).orderBy("start")
 
 
+def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """path, name and size of the files that a path or pattern names (in folders, those within), empty ones too, as the store lists them.
+
+    Spark's file sources leave out files of length 0. Only names reach the driver, as in any scan.
+    """
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [(s, 0) for s in fs.globStatus(pattern) or []]
+    while todo:
+        status, depth = todo.pop()
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if status.isFile():
+            found.append((status.getPath().toString(), name, status.getLen()))
+        elif recursive or not depth:
+            todo += [(s, depth + 1) for s in fs.listStatus(status.getPath())]
+    return spark.createDataFrame(sorted(found), "path string, name string, size long")
+
+
 def _read_files(spark: SparkSession, path: str, parse: Callable[[str], list[tuple]], schema: str = SEGMENT) -> DataFrame:
+    ship(spark)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,15 +184,16 @@ def read_timestamped(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
-    """id (the file's name without its ending) and its lines joined by spaces."""
+    """id (the file's name without its ending) and its lines joined by spaces; an empty file has an empty text."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    files = files.unionByName(list_files(spark, path).filter("size = 0").select("name", F.lit("").alias("value")))
     return files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("id"), F.trim(F.regexp_replace("value", r"\s*\n\s*", " ")).alias("text"))
 
 
 def list_audio(spark: SparkSession, path: str, endings: tuple[str, ...] = ("wav", "mp3", "flac", "ogg")) -> DataFrame:
-    """id and path of a folder's audio files, without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("id"), "path")
+    """id and path of a folder's audio files, without reading them; empty files count."""
+    files = list_files(spark, path, True).filter(F.lower("name").rlike(rf"\.({'|'.join(endings)})$"))
+    return files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("id"), "path")
 
 
 def parse_ranges(spec: Column) -> Column:

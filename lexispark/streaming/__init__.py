@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexispark.session import ship
+
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
@@ -37,6 +39,7 @@ def dedup(events: DataFrame, late: str = "2 days") -> DataFrame:
 def glue(segments: DataFrame, gap: float = 1.0, longest: float = 30.0) -> DataFrame:
     """rec, start, end, text, n: segments (rec, start, end, text) glued as they come; a recording's open piece is its state, given out
     when a later segment closes it."""
+    ship(segments.sparkSession)
     out = "rec string, start double, end double, text string, n long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

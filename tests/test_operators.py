@@ -57,7 +57,11 @@ def test_dtw_and_ctc():
     for t, k in enumerate([0, 1, 1, 0, 2, 2]):
         em[t, k] = np.log(0.9)
     found = E.ctc_align(em, [1, 2])
-    assert [(i, s) for i, s, _, _ in found] == [(0, 1), (1, 4)]
+    # the last token ends where it is likeliest, not where the frames do
+    assert [(i, s, e) for i, s, e, _ in found] == [(0, 1, 4), (1, 4, 5)]
+    assert [p for *_, p in found] == [pytest.approx(0.9), pytest.approx(0.9)]
+    em[2, 1] = np.log(0.5)  # a frame that stays, with a lesser probability
+    assert E.ctc_align(em, [1, 2])[0][3] == pytest.approx((0.9 + 0.5 + 0.9) / 3)
     assert E.ctc_align(em, []) == [] and E.ctc_align(em[:1], [1, 2]) == []
 
 
@@ -78,6 +82,11 @@ def test_spline(spark):
     assert [round(r[0], 6) for r in xs.select(P.spline(F.col("x"), P.TOO_LONG)).collect()] == [y for _, y in P.TOO_LONG]
 
 
+def test_suspicious(spark):
+    df = spark.createDataFrame([("looool",), ("LOOOL",), ("un Éérable",), ("a llama",), ("xx_y",), ("familyfont",), ("belle",)], "t string")
+    assert [r[0] for r in df.select(P.suspicious(F.col("t"))).collect()] == [True, False, True, True, True, True, False]
+
+
 def test_pairs(spark):
     rows = [(f"u{i}", f"s{i % 5}", f"x{i % 3}") for i in range(60)]
     df = spark.createDataFrame(rows, "utt string, spk string, session string")
@@ -93,6 +102,20 @@ def test_numbered(spark):
     assert [r.row_idx for r in S.numbered(df, ["id"]).orderBy("id").collect()] == list(range(1000))
 
 
+def test_numbered_with_payload(spark):
+    """Numbers follow the order and leave no gap, whatever columns go along."""
+    n = 2_000_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("payload "), 4).alias("wide"), F.md5(F.col("id").cast("string")).alias("more"))
+        out = S.numbered(df, ["k"])
+        wrong, rows = out.agg(F.count_if(F.col("row_idx") != F.col("k")), F.count("wide")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (wrong, rows) == (0, n)
+
+
 def test_disjoint_split_error(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1)], "spk string, audio long")
     with pytest.raises(ValueError):

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark.sources import folder, manifest, transcripts
+from tests.conftest import ROOT
 
 
 def write(path, text):
@@ -127,9 +131,36 @@ def test_ranges(spark):
 def test_text_folder_and_audio(spark, tmp_path):
     write(tmp_path / "one.txt", "a\nb\n")
     assert tuple(transcripts.read_text_folder(spark, str(tmp_path / "*.txt")).first()) == ("one", "a b")
-    (tmp_path / "au").mkdir()
+    write(tmp_path / "two.txt", "")
+    assert sorted(tuple(r) for r in transcripts.read_text_folder(spark, str(tmp_path / "*.txt")).collect()) == [("one", "a b"), ("two", "")]
+    (tmp_path / "au" / "deep" / "er").mkdir(parents=True)
     write(tmp_path / "au" / "x.wav", "")
-    assert transcripts.list_audio(spark, str(tmp_path / "au")).first().id == "x"
+    write(tmp_path / "au" / "deep" / "er" / "y.FLAC", "1")
+    write(tmp_path / "au" / "z.txt", "1")
+    assert sorted(r.id for r in transcripts.list_audio(spark, str(tmp_path / "au")).collect()) == ["x", "y"]
+
+
+def test_last_text_of_an_id(spark, tmp_path):
+    path = write(tmp_path / "text", "a  z  last of all\nb one\na first\n\na  m   middle\n")
+    assert {r.utt: r.text for r in folder.read_text(spark, path).collect()} == {"a": "m middle", "b": "one"}
+
+
+def test_functions_reach_executors(tmp_path):
+    """A query with a Python function runs with the driver started in another folder, where the workers can't import the package by themselves."""
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").getOrCreate()
+from lexispark.functions import numbers
+from lexispark.operators import evaluate
+df = spark.createDataFrame([("a 2 b", "a b")], "r string, h string")
+row = df.select(numbers.to_words(F.col("r"), "en").alias("w"), evaluate.edit_count_column(F.col("r"), F.col("h")).alias("e")).first()
+print("GOT", row.w, row.e["del"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(ROOT)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "GOT a two b 1" in done.stdout, done.stderr[-2000:]
 
 
 def test_training_log(spark, tmp_path):

@@ -21,7 +21,7 @@ def one(spark, value, f):
         (T.remove_parenthesis, "a (b) c", "a  c"),
         (T.remove_punctuation, "l'eau, vive-t-elle ?", "l'eau vive-t-elle"),
         (T.normalise_characters, "été “ok” …", 'été "ok" ...'),
-        (T.transliterate, "Čœur été ß", "oeur ete ss"),
+        (T.transliterate, "Čœur été ß ﬁn ½ ǆ", "Cur ete  fin 12 dz"),
         (T.remove_tags, "<noise> l' eau", "l'eau"),
         (T.detokenise, "( a ) b , c .", "(a) b, c."),
         (T.roman_value, "MCMXCIV", 1994),
