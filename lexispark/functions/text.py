@@ -97,11 +97,10 @@ def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
 def transliterate(text: Column) -> Column:
     """ASCII: characters are decomposed (NFKD) and what is beyond ASCII then goes, marks first of all."""
     one, several = _decomposed()
-    out = F.translate(text, "".join(one), "".join(one.values()))
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    spread = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    out = F.when(out.rlike(f"[{''.join(several)}]"), spread).otherwise(out)
-    return F.regexp_replace(out, r"[^\u0000-\u007f]", "")
+    spread = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    plain = bind(F.translate(text, "".join(one), "".join(one.values())), lambda t: F.when(t.rlike(f"[{''.join(several)}]"), spread(t)).otherwise(t))
+    return F.when(text.rlike(r"[^\u0000-\u007f]"), F.regexp_replace(plain, r"[^\u0000-\u007f]", "")).otherwise(text)
 
 
 def remove_special(text: Column, keep: str = r"\p{L}\p{N}\s.,;:!?'\"()%€$&+=@*/°_-") -> Column:

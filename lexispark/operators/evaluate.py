@@ -56,6 +56,11 @@ def pair(refs: DataFrame, hyps: DataFrame, key: str, ref: str = "ref", hyp: str
     return refs.select(key, F.col(ref).alias("ref")).join(hyps.select(key, F.col(hyp).alias("hyp")), key)
 
 
+def spread(pairs: DataFrame, key: str) -> DataFrame:
+    """Pairs dealt over four tasks to a shuffle partition: comparing texts costs the square of their length, so a split's bytes don't bound its work."""
+    return pairs.repartition(4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def error_rates(pairs: DataFrame, keys: list[str] | None = None, unit: str = "word") -> DataFrame:
     """Corpus counts and rates of pairs (ref, hyp), over all or per key."""
     counted = pairs.withColumn("e", edit_count_column(F.col("ref"), F.col("hyp"), unit))
@@ -66,10 +71,13 @@ def error_rates(pairs: DataFrame, keys: list[str] | None = None, unit: str = "wo
 
 def word_counts(pairs: DataFrame, words: list[str]) -> DataFrame:
     """Per word of a list: tp, fp, fn over all pairs, with precision, recall and f1."""
-    n = lambda text, w: F.size(F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_']+", " ")), " "), lambda x: x == w))
-    each = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), n(F.col("ref"), w).alias("r"), n(F.col("hyp"), w).alias("h")) for w in words]))
-    rows = pairs.select(each.alias("x")).select("x.word", "x.r", "x.h")
-    out = rows.groupBy("word").agg(
+    # each side is cut into words once, and only listed ones are kept
+    listed = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_']+", " ")), " "), lambda x: x.isin(*words)).alias(c)
+    rows = pairs.select(listed("ref"), listed("hyp")).withColumn("word", F.explode(F.array_union(F.array_distinct("ref"), F.array_distinct("hyp"))))
+    n = lambda c: F.size(F.filter(c, lambda x: x == F.col("word")))
+    rows = rows.select("word", n("ref").alias("r"), n("hyp").alias("h"))
+    none = pairs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("word"), F.lit(0).alias("r"), F.lit(0).alias("h"))
+    out = rows.unionByName(none).groupBy("word").agg(
         F.sum(F.least("r", "h")).alias("tp"), F.sum(F.greatest(F.col("h") - F.col("r"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("r") - F.col("h"), F.lit(0))).alias("fn")
     )
     return out.select("*", *[v.alias(k) for k, v in f1(F.col("tp"), F.col("fp"), F.col("fn")).items()])
@@ -230,6 +238,8 @@ def positions(df: DataFrame, key: str, emission: str, tokens: str, seconds_per_f
 
 
 def mismatch(ref: Column, hyp: Column, most: float = 0.6) -> Column:
-    """Whether the character distance without spaces is over `most` of the longer text."""
+    """Whether the character distance without spaces is over `most` of the longer text (null if both are empty). Only a band of that width is searched."""
     a, b = F.replace(ref, F.lit(" "), F.lit("")), F.replace(hyp, F.lit(" "), F.lit(""))
-    return F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0)) > most
+    longer = F.greatest(F.length(a), F.length(b))
+    # 1e-9: a share that is met exactly is not over it
+    return F.when(longer > 0, F.call_function("levenshtein", a, b, F.floor(longer * F.lit(most) + F.lit(1e-9)).cast("int")) < 0)

@@ -47,12 +47,13 @@ def equal_total_bins(spark, d):
 
 
 def duration_fill(spark, d):
-    return S.duration_fill(table(spark, d, "lineitem").filter("l_orderkey < 2000"), "l_orderkey", "l_quantity", 500.0)
+    return S.duration_fill(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", 500.0)
 
 
 def disjoint_split(spark, d):
-    li = table(spark, d, "lineitem").select("l_suppkey", F.expr("l_orderkey div 300").alias("audio")).filter("l_suppkey % 10 = audio % 10")
-    return S.disjoint_split(li, "l_suppkey", "audio", li.filter("l_suppkey in (11, 23)"))
+    """Runs of eight orders as speakers and of fifty as audio: they share borders every two hundred."""
+    li = table(spark, d, "lineitem").select(F.expr("l_orderkey div 8").alias("speaker"), F.expr("l_orderkey div 50").alias("audio"))
+    return S.disjoint_split(li, "speaker", "audio", li.filter("speaker in (11, 60)"))
 
 
 def head_proportion(spark, d):
@@ -128,7 +129,7 @@ def turn_surgery(spark, d):
 
 
 def flat_to_turns(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 500")
+    li = table(spark, d, "lineitem")
     t = N.from_flat(F.concat(F.lit("/a/"), F.col("l_orderkey").cast("string")), F.col("l_quantity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")), F.col("l_returnflag"))
     return li.select("l_orderkey", "l_linenumber", F.get(t, F.lit(0))["value"].alias("audio"), F.get(t, F.lit(0))["offset"].alias("offset"), F.get(t, F.lit(1))["value"].alias("text"), F.size(t).alias("n"))
 
@@ -193,20 +194,20 @@ ORACLES = {
 SELECT doc_id, CASE WHEN u < 1.0::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE THEN 'train' WHEN u < 1.0::DOUBLE - 0.1::DOUBLE THEN 'dev' ELSE 'test' END AS split FROM u""",
     "dev_speakers": f"""WITH s AS (SELECT DISTINCT l_suppkey FROM lineitem), r AS (SELECT l_suppkey, row_number() OVER (ORDER BY {_u("l_suppkey", 1)}, l_suppkey) AS k, count(*) OVER () AS n FROM s)
 SELECT l_suppkey, CASE WHEN k <= greatest(1, round(n * 0.13)) THEN 'dev' ELSE 'train' END AS split FROM r""",
-    "shards": """SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT AS shard FROM documents""",
-    "even_shards": """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, (count(*) OVER ()) // 7 AS size FROM documents) SELECT doc_id, (i // size)::BIGINT AS shard FROM n WHERE i < size * 7""",
+    "shards": """SELECT doc_id, lang, source, ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT AS shard FROM documents""",
+    "even_shards": """WITH n AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS i, (count(*) OVER ()) // 7 AS size FROM documents) SELECT doc_id, lang, source, (i // size)::BIGINT AS shard FROM n WHERE i < size * 7""",
     "duration_buckets": """WITH b AS (SELECT least(floor((l_quantity - 1) / (49 / 8.0::DOUBLE)), 7)::INT AS linear, least(floor((ln(l_quantity) - ln(0.9::DOUBLE)) / ((ln(51.0::DOUBLE) - ln(0.9::DOUBLE)) / 8)), 7)::INT AS log,
 CASE WHEN l_quantity < 10.5 THEN least(floor((l_quantity - 1) / (9.5::DOUBLE / 4)), 3)::INT ELSE 4 + least(floor((ln(l_quantity) - ln(10.5::DOUBLE)) / ((ln(51.0::DOUBLE) - ln(10.5::DOUBLE)) / 4)), 3)::INT END AS hybrid FROM lineitem)
 SELECT linear, log, hybrid, count(*) AS n FROM b GROUP BY 1, 2, 3""",
     "equal_total_bins": """WITH s AS (SELECT l_quantity AS v, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1),
 b AS (SELECT v, s, n, least(floor(coalesce(sum(s) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(s) OVER () * 6), 5)::INT AS bucket FROM s)
 SELECT bucket, sum(n)::BIGINT AS n, sum(s) AS total FROM b GROUP BY 1""",
-    "duration_fill": """WITH RECURSIVE p AS (SELECT l_orderkey, sum(l_quantity) AS d, row_number() OVER (ORDER BY l_orderkey) AS i FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1),
+    "duration_fill": """WITH RECURSIVE p AS (SELECT l_orderkey, sum(l_quantity) AS d, row_number() OVER (ORDER BY l_orderkey) AS i FROM lineitem GROUP BY 1),
 r AS (SELECT l_orderkey, d, i, d AS s, 0 AS split FROM p WHERE i = 1 UNION ALL SELECT p.l_orderkey, p.d, p.i, CASE WHEN s + p.d > 500 THEN p.d ELSE s + p.d END, CASE WHEN s + p.d > 500 THEN split + 1 ELSE split END FROM r JOIN p ON p.i = r.i + 1)
 SELECT l_orderkey, d AS duration, split FROM r""",
-    "disjoint_split": """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS s, l_orderkey // 300 AS a FROM lineitem WHERE l_suppkey % 10 = (l_orderkey // 300) % 10),
-r AS (SELECT DISTINCT s FROM p WHERE s IN (11, 23) UNION SELECT b.s FROM r JOIN p a ON a.s = r.s JOIN p b ON b.a = a.a)
-SELECT DISTINCT s AS l_suppkey, CASE WHEN s IN (SELECT s FROM r) THEN 'test' ELSE 'train' END AS split FROM p""",
+    "disjoint_split": """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey // 8 AS s, l_orderkey // 50 AS a FROM lineitem),
+r AS (SELECT DISTINCT s FROM p WHERE s IN (11, 60) UNION SELECT b.s FROM r JOIN p a ON a.s = r.s JOIN p b ON b.a = a.a)
+SELECT DISTINCT s AS speaker, CASE WHEN s IN (SELECT s FROM r) THEN 'test' ELSE 'train' END AS split FROM p""",
     "head_proportion": """(SELECT doc_id FROM documents ORDER BY doc_id LIMIT (SELECT floor(count(*) * 0.05)::BIGINT FROM documents)) UNION ALL (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 10)""",
     "random_rows": f"""SELECT doc_id FROM documents ORDER BY {_u("doc_id", 9)}, doc_id LIMIT 50""",
     "topk_longest": """SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, length(text) DESC, doc_id LIMIT 25""",
@@ -225,7 +226,7 @@ SELECT a.conv_id, audio, md5(text) AS text, CASE WHEN k0 = 'text' THEN md5(v0) E
     "turn_surgery": f"""WITH {_T}, l AS (SELECT conv_id, list(who || ':' || kind ORDER BY turn) AS l, list(kind ORDER BY turn) AS k FROM t GROUP BY 1),
 s AS (SELECT conv_id, l, CASE WHEN k[1] = 'text' AND k[2] = 'audio' THEN list_concat([l[2], l[1]], l[3:]) ELSE l END AS w FROM l)
 SELECT conv_id, array_to_string(w, ' ') AS swapped, CASE WHEN w[1] LIKE '%:audio' THEN 'User:text ' ELSE '' END || array_to_string(w, ' ') AS with_context, 'system:text ' || array_to_string(l, ' ') AS with_system FROM s""",
-    "flat_to_turns": """SELECT l_orderkey, l_linenumber, '/a/' || l_orderkey AS audio, CASE WHEN l_linenumber % 2 = 0 THEN l_tax ELSE 0 END AS "offset", l_returnflag AS text, 2 AS n FROM lineitem WHERE l_orderkey < 500""",
+    "flat_to_turns": """SELECT l_orderkey, l_linenumber, '/a/' || l_orderkey AS audio, CASE WHEN l_linenumber % 2 = 0 THEN l_tax ELSE 0 END AS "offset", l_returnflag AS text, 2 AS n FROM lineitem""",
     "last_turn_check": """SELECT conv_id, arg_max(role, turn) AS last FROM conversations GROUP BY 1 HAVING arg_max(role, turn) <> 'assistant'""",
     "manifest_rules": f"""WITH {_T}, c AS (SELECT conv_id, arg_max(who, turn) AS last, max(length(value)) AS m FROM t GROUP BY 1),
 e AS (SELECT conv_id, 'invalid_duration' AS e FROM c WHERE conv_id % 5 = 0 OR conv_id % 7 = 0 UNION ALL SELECT conv_id, 'invalid_offset' FROM c WHERE conv_id % 3 = 0

@@ -31,8 +31,8 @@ def lookup_merge(spark, d):
 
 
 def zip_merge(spark, d):
-    a = table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), "lang", "n_chars")
-    b = table(spark, d, "events").filter("event_id < 500").select(F.col("event_id").alias("row_idx"), F.col("event_type").alias("lang"), "value")
+    a = table(spark, d, "events").select(F.col("event_id").alias("row_idx"), F.col("event_type").alias("lang"), "value")
+    b = table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), "lang", "n_chars")
     return J.zip_merge(a, b, "row_idx")
 
 
@@ -100,7 +100,7 @@ def composite_lookup(spark, d):
 
 
 def nearest_next(spark, d):
-    e = _timed(spark, d).filter("event_id < 400")
+    e = _timed(spark, d)
     out = J.next_start(e, ["user_id"], "start", ["start", "event_id"], F.col("value") < 10, "end")
     return out.select("event_id", F.round("end", 3).alias("end"))
 
@@ -159,8 +159,10 @@ def machine_made(spark, d):
 
 
 def backchannel_turns(spark, d):
-    df = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.slice(F.split("text", " "), 1, (F.col("turn") % 6 + 1).cast("int"))).alias("t"))
-    return df.select("conv_id", "turn", P.backchannel_only(F.col("t"), ["the", "and", "of", "that", "in", "is", "he", "it"]).alias("backchannel"))
+    """Each run of four words of a turn."""
+    words = F.split("text", " ")
+    df = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 4)), lambda i: F.array_join(F.slice(words, (i * 4 + 1).cast("int"), 4), " "))).alias("i", "t"))
+    return df.select("conv_id", "turn", "i", P.backchannel_only(F.col("t"), ["the", "and", "of", "that", "in", "is", "he", "it"]).alias("backchannel"))
 
 
 def suspicious_entries(spark, d):
@@ -243,7 +245,7 @@ ORACLES = {
 JOIN (SELECT utt, arg_max(price, i) AS price, arg_max(spk, i) AS spk FROM n GROUP BY 1) n1 USING (utt)""",
     "merge_unmatched": f"""WITH {_OLD_NEW} SELECT DISTINCT utt, 'old' AS side FROM o WHERE utt NOT IN (SELECT utt FROM n) UNION ALL SELECT DISTINCT utt, 'new' FROM n WHERE utt NOT IN (SELECT utt FROM o)""",
     "lookup_merge": """SELECT o_custkey, o_orderkey, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey""",
-    "zip_merge": """SELECT d.doc_id AS row_idx, coalesce(e.event_type, d.lang) AS lang, n_chars, e.value FROM documents d LEFT JOIN (SELECT * FROM events WHERE event_id < 500) e ON d.doc_id = e.event_id""",
+    "zip_merge": """SELECT event_id AS row_idx, CASE WHEN doc_id IS NULL THEN event_type ELSE lang END AS lang, value, n_chars FROM events LEFT JOIN documents ON doc_id = event_id""",
     "semi_filter_speakers": """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""",
     "anti_missing": """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "folder_load": """SELECT l_orderkey AS rec, l_linenumber, '/wav/' || o_orderkey AS path, p_name AS text, c_name AS speaker, l_quantity AS dur FROM lineitem JOIN orders ON o_orderkey = l_orderkey
@@ -261,7 +263,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ov DESC, span_
     "id_prefix_match": """WITH r AS (SELECT 'Customer#' || lpad((o_custkey % 50)::VARCHAR, 9, '0') || '_' || o_orderkey AS file FROM orders)
 SELECT c_name, min(file) AS file FROM customer JOIN r ON substr(file, 1, 18) = substr(c_name, 1, 18) GROUP BY c_name""",
     "composite_lookup": """SELECT l_orderkey, l_returnflag AS channel, min(l_linestatus) AS speaker, count(DISTINCT l_linestatus) > 1 AS conflict FROM lineitem GROUP BY 1, 2""",
-    "nearest_next": f"""WITH {_TIMED} SELECT event_id, round(CASE WHEN value < 10 THEN coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), t) ELSE t END, 3) AS "end" FROM e WHERE event_id < 400""",
+    "nearest_next": f"""WITH {_TIMED} SELECT event_id, round(CASE WHEN value < 10 THEN coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), t) ELSE t END, 3) AS "end" FROM e""",
     "split_assign": """SELECT split, count(*) AS n FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'train' ELSE 'test' END AS split FROM labels) USING (doc_id) GROUP BY 1""",
     "filter_columns": """WITH f AS (SELECT p_partkey, regexp_matches(p_type, '^(STANDARD|SMALL)') AS a, p_size > 10 AS b FROM part)
 SELECT p_partkey, 'filter_type' AS failed FROM f WHERE NOT a UNION ALL SELECT p_partkey, 'filter_size' FROM f WHERE NOT b UNION ALL SELECT p_partkey, '' FROM f WHERE a AND b""",
@@ -279,9 +281,9 @@ SELECT l_orderkey, l_linenumber, s AS start, coalesce(e0, s + d0) AS "end", coal
 SELECT doc_id, round({_spline_sql(P.TOO_LONG)}, 6) AS hi, n_chars > {_spline_sql(P.TOO_LONG)} AS too_long, n_chars < {_spline_sql(P.TOO_SHORT)} AS too_short FROM t""",
     "words_blacklist": r"""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(^|[^\p{L}\p{N}_])(the|que|der)($|[^\p{L}\p{N}_])')""",
     "machine_made": r"""SELECT conv_id, turn, (text = lower(text) AND regexp_matches(text, '\p{L}')) OR NOT contains(text, ',') AS asr FROM conversations""",
-    "backchannel_turns": r"""WITH t AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:(turn % 6 + 1)::INT], ' ') AS t FROM conversations),
-k AS (SELECT conv_id, turn, [x FOR x IN string_split_regex(lower(regexp_replace(t, '[^\p{L}\p{N}\s''-]', ' ', 'g')), '\s+') IF x <> ''] AS w FROM t)
-SELECT conv_id, turn, len(w) > 0 AND len(w) <= 4 AND len([x FOR x IN w IF x NOT IN ('the', 'and', 'of', 'that', 'in', 'is', 'he', 'it')]) = 0 AS backchannel FROM k""",
+    "backchannel_turns": r"""WITH s AS (SELECT conv_id, turn, string_split(text, ' ') AS s FROM conversations), n AS (SELECT *, unnest(range(0, (len(s) + 3) // 4))::INT AS i FROM s),
+t AS (SELECT conv_id, turn, i, array_to_string(s[i * 4 + 1:i * 4 + 4], ' ') AS t FROM n), k AS (SELECT conv_id, turn, i, [x FOR x IN string_split_regex(lower(regexp_replace(t, '[^\p{L}\p{N}\s''-]', ' ', 'g')), '\s+') IF x <> ''] AS w FROM t)
+SELECT conv_id, turn, i, len(w) > 0 AND len(w) <= 4 AND len([x FOR x IN w IF x NOT IN ('the', 'and', 'of', 'that', 'in', 'is', 'he', 'it')]) = 0 AS backchannel FROM k""",
     "suspicious_entries": "SELECT doc_id, contains(text, 'familyfont') OR "
     + " OR ".join(f"regexp_matches(text, '{c}{{3}}') OR regexp_matches(t, '(^|[^a-z0-9_]){c}{c}')" for c in "abcdefghijklmnopqrstuvwxyz")
     + " AS suspicious FROM (SELECT *, regexp_replace(lower(strip_accents(nfc_normalize(text))), '[^\\x00-\\x7F]', '', 'g') AS t FROM documents)",

@@ -9,10 +9,10 @@ from lexispark.operators import ordered as O
 from lexispark.plans.common import table
 
 
-def _segments(spark, d, every=False):
-    """Events as segments of a recording (user): whole seconds, so that both engines add alike. Those with even ids, as in the SQL, or every one."""
+def _segments(spark, d):
+    """Events as segments of a recording (user): whole seconds, so that both engines add alike."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").filter("true" if every else "event_id % 2 = 0").withColumn("k", F.row_number().over(w))
+    e = table(spark, d, "events").withColumn("k", F.row_number().over(w))
     e = e.withColumn("start", (F.col("k") * 4 + F.col("event_id") % 5).cast("double")).withColumn("end", F.col("start") + 1 + F.floor(F.col("value")) % 7)
     return e.select("user_id", "event_id", F.col("event_type").alias("spk"), "start", F.col("end").cast("double").alias("end"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 4 == 0, ".").otherwise("")).alias("text"))
 
@@ -87,7 +87,7 @@ def word_cuts(spark, d):
 
 def even_word_times(spark, d):
     df = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(0.0).alias("s"), F.length("text").cast("double").alias("e"))
-    return O.even_words(df.filter("turn = 1"), ["conv_id"], "text", "s", "e")
+    return O.even_words(df, ["conv_id", "turn"], "text", "s", "e")
 
 
 def stride_cut(spark, d):
@@ -108,7 +108,7 @@ QUERIES = {f.__name__: f for f in (
     greedy_concat, greedy_windows, word_cuts, even_word_times, stride_cut, session_windows,
 )}
 
-_S = """k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0),
+_S = """k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 s AS (SELECT user_id, event_id, event_type AS spk, (k * 4 + event_id % 5)::DOUBLE AS s, (k * 4 + event_id % 5 + 1 + floor(value)::BIGINT % 7)::DOUBLE AS e,
   event_type || CASE WHEN event_id % 4 = 0 THEN '.' ELSE '' END AS text FROM k)"""
 _W = "(PARTITION BY user_id ORDER BY s, event_id)"
@@ -152,8 +152,8 @@ SELECT user_id, event_id, "window", dense_rank() OVER (PARTITION BY user_id, "wi
 UNION ALL SELECT n.user_id, n.i, CASE WHEN f THEN piece + 1 ELSE piece END, CASE WHEN f THEN n.s ELSE a END, n.e, CASE WHEN f THEN n.spk ELSE r.text || ' ' || n.spk END
   FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1, LATERAL (SELECT n.e - a > 20 AS f))
 SELECT user_id, printf('%d_cut%02d', user_id, piece) AS cut_id, max(a) AS start, arg_max(z, i) AS "end", arg_max(text, i) AS text FROM r GROUP BY user_id, piece""",
-    "even_word_times": r"""WITH w AS (SELECT conv_id, length(text)::DOUBLE AS d, [x FOR x IN string_split_regex(trim(text), '\s+') IF x <> ''] AS w FROM conversations WHERE turn = 1)
-SELECT conv_id, i - 1 AS i, w[i] AS word, (i - 1) * (d / len(w)) AS start, i * (d / len(w)) AS "end" FROM (SELECT *, unnest(range(1, len(w) + 1))::INT AS i FROM w)""",
+    "even_word_times": r"""WITH w AS (SELECT conv_id, turn, length(text)::DOUBLE AS d, [x FOR x IN string_split_regex(trim(text), '\s+') IF x <> ''] AS w FROM conversations)
+SELECT conv_id, turn, i - 1 AS i, w[i] AS word, (i - 1) * (d / len(w)) AS start, i * (d / len(w)) AS "end" FROM (SELECT *, unnest(range(1, len(w) + 1))::INT AS i FROM w)""",
     "stride_cut": f"""WITH {_S}, p AS (SELECT *, unnest(range(0, greatest(ceil((e - s) / 2.5), 1)::BIGINT)) AS piece FROM s)
 SELECT event_id, piece, s + piece * 2.5::DOUBLE AS start, least(e, s + (piece + 1) * 2.5::DOUBLE) AS "end", CASE WHEN piece = 0 THEN text ELSE '' END AS text FROM p""",
     "session_windows": """WITH b AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 3600 THEN 1 ELSE 0 END AS br FROM events),

@@ -16,13 +16,13 @@ def glue_overlapping(spark, d):
 
 def overlaps_removed(spark, d):
     """Rows only: a fold that SQL has no form for; the tests check it."""
-    return Z.remove_overlaps(_segments(spark, d, every=True), "user_id", "start", "end", "spk")
+    return Z.remove_overlaps(_segments(spark, d), "user_id", "start", "end", "spk")
 
 
 def word_speakers(spark, d):
     s = _segments(spark, d)
-    words = s.filter("event_id % 4 = 0").select("user_id", "event_id", "start", F.col("start").alias("s"), (F.col("start") + 0.5).alias("end"), F.when(F.col("event_id") % 12 == 0, ".").otherwise("w").alias("word"))
-    turns = s.filter("event_id % 4 = 2").select("user_id", "start", "end", F.col("event_id").alias("idx"), F.col("spk").alias("speaker"))
+    words = s.filter("event_id % 2 = 0").select("user_id", "event_id", "start", F.col("start").alias("s"), (F.col("start") + 0.5).alias("end"), F.when(F.col("event_id") % 12 == 0, ".").otherwise("w").alias("word"))
+    turns = s.filter("event_id % 2 = 1").select("user_id", "start", "end", F.col("event_id").alias("idx"), F.col("spk").alias("speaker"))
     return Z.word_speakers(words, turns, ["user_id"], "event_id", "word").select("event_id", "speaker")
 
 
@@ -50,8 +50,8 @@ def dataset_modes(spark, d):
 
 
 def translation_contexts(spark, d):
-    n = table(spark, d, "nation").filter("n_nationkey < 4")
-    code = F.element_at(F.array(*[F.lit(x) for x in ("fr", "en", "de", "es")]), F.col("n_nationkey") + 1)
+    n = table(spark, d, "nation")
+    code = F.when(F.col("n_nationkey") == 0, "fr").when(F.col("n_nationkey") == 1, "en").otherwise(F.lower("n_name"))
     names = n.select(code.alias("code"), F.lower("n_name").alias("name")).join(n.select(code.alias("prompt_lang")))
     templates = n.select(code.alias("prompt_lang"), F.when(F.col("n_nationkey") == 0, "du {source} vers le {target}").otherwise("from {source} to {target}").alias("template"))
     return S.translation_contexts(names, templates)
@@ -66,7 +66,7 @@ r AS (SELECT user_id, spk, i, 0 AS g, s AS a, e AS z, text, 1 AS n FROM n WHERE
 SELECT n.user_id, n.spk, n.i, CASE WHEN f THEN g ELSE g + 1 END, CASE WHEN f THEN a ELSE n.s END, CASE WHEN f THEN greatest(n.e, z) ELSE n.e END, CASE WHEN f THEN r.text || ' ' || n.text ELSE n.text END, CASE WHEN f THEN r.n + 1 ELSE 1 END
 FROM r JOIN n ON n.user_id = r.user_id AND n.spk = r.spk AND n.i = r.i + 1, LATERAL (SELECT n.s - z <= 4 AND greatest(n.e, z) - a <= 20 AS f))
 SELECT user_id, spk, max(a) AS start, max(z) AS "end", arg_max(text, i) AS text, max(n) AS n FROM r GROUP BY user_id, spk, g""",
-    "word_speakers": f"""WITH {_S}, w AS (SELECT *, s AS ws, s + 0.5::DOUBLE AS we FROM s WHERE event_id % 4 = 0), t AS (SELECT * FROM s WHERE event_id % 4 = 2),
+    "word_speakers": f"""WITH {_S}, w AS (SELECT *, s AS ws, s + 0.5::DOUBLE AS we FROM s WHERE event_id % 2 = 0), t AS (SELECT * FROM s WHERE event_id % 2 = 1),
 j AS (SELECT w.user_id, w.event_id, w.ws, w.we, t.spk, row_number() OVER (PARTITION BY w.event_id ORDER BY least(we, t.e) - greatest(ws, t.s) DESC, t.event_id) AS k FROM w JOIN t ON t.user_id = w.user_id AND ws < t.e AND t.s < we),
 m AS (SELECT w.user_id, w.event_id, w.ws, w.we, CASE WHEN w.event_id % 12 <> 0 THEN j.spk END AS spk FROM w LEFT JOIN (SELECT * FROM j WHERE k = 1) j ON j.event_id = w.event_id)
 SELECT event_id, coalesce(last_value(spk IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ws, we, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -78,7 +78,7 @@ SELECT event_id, channel, s AS start, least(e, coalesce(lead(s) OVER (PARTITION
     "explicit_lists": """SELECT o_orderkey, CASE WHEN o_orderkey = 30 THEN 'dev' ELSE 'test' END AS split FROM orders WHERE o_orderkey IN (4, 17, 30)""",
     "row_versions": f"""SELECT doc_id, 0 AS version FROM documents UNION ALL SELECT doc_id, 1 FROM documents WHERE {_U} < 0.25""",
     "dataset_modes": """SELECT p_partkey, ['train', 'dev', 'test', 'dev', 'train', 'test'][(p_partkey % 6 + 1)::INT] AS mode FROM part""",
-    "translation_contexts": """WITH n AS (SELECT ['fr', 'en', 'de', 'es'][n_nationkey + 1] AS code, lower(n_name) AS name FROM nation WHERE n_nationkey < 4)
+    "translation_contexts": """WITH n AS (SELECT CASE n_nationkey WHEN 0 THEN 'fr' WHEN 1 THEN 'en' ELSE lower(n_name) END AS code, lower(n_name) AS name FROM nation)
 SELECT s.code AS source, t.code AS target, p.code AS prompt_lang, CASE WHEN p.code = 'fr' THEN CASE WHEN regexp_matches(s.name, '^[aeiouhéà]') THEN 'de l''' ELSE 'du ' END || s.name || ' vers ' || CASE WHEN regexp_matches(t.name, '^[aeiouhéà]') THEN 'l''' ELSE 'le ' END || t.name
 ELSE 'from ' || s.name || ' to ' || t.name END AS context, CASE WHEN p.code IN (s.code, t.code) THEN 0.94 WHEN p.code IN ('en', 'fr') THEN 0.04 ELSE 0.02 END::DOUBLE AS weight FROM n s, n t, n p WHERE s.code <> t.code""",
 }

@@ -12,8 +12,8 @@ from lexispark.plans.common import table
 
 
 def clean_basic(spark, d):
-    """The first words of a document, decorated, through the basic functions."""
-    t = F.concat(F.lit('  "A" (noise) '), F.substring("text", 1, 60), F.lit(" [x]  <b>  l' eau 5 €"))
+    """A document, decorated, through the basic functions."""
+    t = F.concat(F.lit('  "A" (noise) '), F.col("text"), F.lit(" [x]  <b>  l' eau 5 €"))
     return table(spark, d, "documents").select(
         "doc_id", T.collapse_whitespace(t).alias("collapsed"), T.remove_parenthesis(t).alias("no_parens"), T.clean_brackets(t).alias("no_brackets"), T.remove_punctuation(t, True).alias("no_marks"),
         T.remove_tags(t).alias("no_tags"), T.detokenise(t).alias("detokenised"), T.remove_quotes(t).alias("no_quotes"),
@@ -36,12 +36,12 @@ def acronym_inventory(spark, d):
 
 
 def arabic_letters(spark, d):
-    df = table(spark, d, "documents").filter("doc_id < 300").select("doc_id", T.from_buckwalter(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)).alias("ar"))
+    df = table(spark, d, "documents").select("doc_id", T.from_buckwalter(F.regexp_replace("text", "[^A-Za-z ]", "")).alias("ar"))
     return df.select("doc_id", "ar", T.buckwalter(F.col("ar")).alias("back"))
 
 
 def clocks(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 3000")
+    li = table(spark, d, "lineitem")
     s = F.col("l_quantity") * 100 + F.col("l_linenumber")
     clock = T.seconds_clock(s)
     return li.select("l_orderkey", "l_linenumber", clock.alias("clock"), T.clock_seconds(clock).alias("back"), T.spoken_duration(F.concat(F.col("l_linenumber").cast("string"), F.lit("h"), F.col("l_quantity").cast("int").cast("string"), F.lit("m5s"))).alias("spoken"))
@@ -75,55 +75,51 @@ def normalised_documents(spark, d):
 
 
 def diarization_styles(spark, d):
-    turn = F.struct("turn", F.struct((F.col("turn") % 2 + 1).cast("int").alias("speaker"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).cast("double").alias("end"), F.substring("text", 1, 12).alias("text")).alias("t"))
+    turn = F.struct("turn", F.struct((F.col("turn") % 2 + 1).cast("int").alias("speaker"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).cast("double").alias("end"), F.col("text").alias("text")).alias("t"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["t"]).alias("turns"))
     return rows.select("conv_id", *[render.render(F.col("turns"), s).alias(s) for s in ("letter", "bracket", "timed", "rttm", "seconds")])
 
 
-#: The queries that are compared with SQL cut documents as it does.
-_SQL_WORDS = 40
-
-
-def _pairs(spark, d, most=None):
-    """Documents against a perturbed copy: every seventh word doubled or dropped, by id. `most` is the number of words that a query's SQL keeps; None keeps all."""
+def _pairs(spark, d):
+    """Documents against a perturbed copy: every seventh word doubled or dropped, by id."""
     words = F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " "), lambda w: w != "")
-    df = table(spark, d, "documents").select("doc_id", "lang", (words if most is None else F.slice(words, 1, most)).alias("w"))
+    df = table(spark, d, "documents").select("doc_id", "lang", words.alias("w"))
     bad = F.flatten(F.transform("w", lambda w, i: F.when((i + F.col("doc_id")) % 7 == 0, F.array(w, w)).when((i + F.col("doc_id")) % 11 == 0, F.array().cast("array<string>")).when((i + F.col("doc_id")) % 13 == 0, F.array(F.concat(w, F.lit("x")))).otherwise(F.array(w))))
     return df.select("doc_id", "lang", F.array_join("w", " ").alias("ref"), F.array_join(bad, " ").alias("hyp"))
 
 
 def wer_wordlist(spark, d):
-    return E.word_counts(_pairs(spark, d, _SQL_WORDS), ["the", "and", "of", "de", "la", "und"])
+    return E.word_counts(_pairs(spark, d), ["the", "and", "of", "de", "la", "und"])
 
 
 def corpus_wer(spark, d):
     """Rows only: word error rates per language; edit counts have no SQL form."""
-    return E.error_rates(_pairs(spark, d), ["lang"])
+    return E.error_rates(E.spread(_pairs(spark, d), "doc_id"), ["lang"])
 
 
 def corpus_cer(spark, d):
-    return E.error_rates(_pairs(spark, d), ["lang"], "char")
+    return E.error_rates(E.spread(_pairs(spark, d), "doc_id"), ["lang"], "char")
 
 
 def char_distance(spark, d):
-    return _pairs(spark, d, _SQL_WORDS).select("doc_id", F.levenshtein("ref", "hyp").alias("distance"), E.mismatch(F.col("ref"), F.col("hyp"), 0.1).alias("mismatch"))
+    return E.spread(_pairs(spark, d), "doc_id").select("doc_id", F.levenshtein("ref", "hyp").alias("distance"), E.mismatch(F.col("ref"), F.col("hyp"), 0.1).alias("mismatch"))
 
 
 def wer_bootstrap(spark, d):
     """Rows only: intervals by hashed resampling, 10,000 times (AGG18)."""
-    p = _pairs(spark, d).withColumn("e", E.edit_count_column(F.col("ref"), F.col("hyp")))
+    p = E.spread(_pairs(spark, d), "doc_id").withColumn("e", E.edit_count_column(F.col("ref"), F.col("hyp")))
     c = p.select("doc_id", (F.col("e.sub") + F.col("e.del") + F.col("e.ins")).alias("err"), (F.col("e.hits") + F.col("e.sub") + F.col("e.del")).alias("n"))
     return E.bootstrap(c, "err", "n", "doc_id", 10_000)
 
 
 def system_difference(spark, d):
-    p = _pairs(spark, d, _SQL_WORDS).withColumn("other", F.regexp_replace("ref", " (the|de|und) ", " zzz "))
+    p = _pairs(spark, d).withColumn("other", F.regexp_replace("ref", " (the|de|und) ", " zzz "))
     return E.system_difference(p, "hyp", "other", ["lang"])
 
 
 def word_alignment(spark, d):
     """Rows only: word pairs of cheapest paths."""
-    p = _pairs(spark, d).select("doc_id", E.align_words(F.col("ref"), F.col("hyp")).alias("path"))
+    p = E.spread(_pairs(spark, d), "doc_id").select("doc_id", E.align_words(F.col("ref"), F.col("hyp")).alias("path"))
     return p.select("doc_id", F.explode("path").alias("p")).select("doc_id", "p.ref", "p.hyp")
 
 
@@ -145,10 +141,10 @@ def _collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_SP}', ' ', 'g'), ' ')"
 
 
-_PAIRS = r"""w AS (SELECT doc_id, lang, [x FOR x IN string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ') IF x <> ''][1:40] AS w FROM documents),
+_PAIRS = r"""w AS (SELECT doc_id, lang, [x FOR x IN string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ') IF x <> ''] AS w FROM documents),
 p AS (SELECT doc_id, lang, w, flatten([CASE WHEN (i - 1 + doc_id) % 7 = 0 THEN [x, x] WHEN (i - 1 + doc_id) % 11 = 0 THEN [] WHEN (i - 1 + doc_id) % 13 = 0 THEN [x || 'x'] ELSE [x] END FOR x, i IN w]) AS h FROM w)"""
 _LISTED = ["the", "and", "of", "de", "la", "und"]
-_D = r"""t AS (SELECT conv_id, turn, turn % 2 + 1 AS k, turn::DOUBLE AS s, turn + 0.5::DOUBLE AS e, substr(text, 1, 12) AS text FROM conversations)"""
+_D = r"""t AS (SELECT conv_id, turn, turn % 2 + 1 AS k, turn::DOUBLE AS s, turn + 0.5::DOUBLE AS e, text FROM conversations)"""
 
 
 def _clock(x: str) -> str:
@@ -157,15 +153,15 @@ def _clock(x: str) -> str:
 
 
 ORACLES = {
-    "clean_basic": rf"""WITH t AS (SELECT doc_id, '  "A" (noise) ' || substr(text, 1, 60) || ' [x]  <b>  l'' eau 5 €' AS t FROM documents)
+    "clean_basic": rf"""WITH t AS (SELECT doc_id, '  "A" (noise) ' || text || ' [x]  <b>  l'' eau 5 €' AS t FROM documents)
 SELECT doc_id, {_collapse("t")} AS collapsed, regexp_replace(t, '\([^)]*\)', '', 'g') AS no_parens, {_collapse(r"regexp_replace(regexp_replace(t, '\([^)]*\)', ' ', 'g'), '\[[^\]]*\]', ' ', 'g')")} AS no_brackets,
 {_collapse(r"regexp_replace(t, '[!-/:-@\[-`{-~«»“”„’‘…–—¿¡]', ' ', 'g')")} AS no_marks, {_collapse(r"regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '''\s+', '''', 'g')")} AS no_tags,
 {_collapse(r"regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+([.,;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g')")} AS detokenised,
 regexp_replace(regexp_replace(regexp_replace(t, '"', '', 'g'), '''''+', '', 'g'), '(^| )''([^'']*)''( |$)', '\1\2\3', 'g') AS no_quotes FROM t""",
     "strip_fillers": r"""SELECT conv_id, turn, array_to_string([x FOR x IN string_split(text, ' ') IF x <> '' AND regexp_replace(lower(x), '[^\p{L}\p{N}'']', '', 'g') NOT IN ('the', 'of', 'is')], ' ') AS text FROM conversations""",
-    "arabic_letters": f"""WITH t AS (SELECT doc_id, translate(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40), '{T.BUCKWALTER.replace(chr(39), chr(39) * 2)}', '{T.ARABIC}') AS ar FROM documents WHERE doc_id < 300)
+    "arabic_letters": f"""WITH t AS (SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '{T.BUCKWALTER.replace(chr(39), chr(39) * 2)}', '{T.ARABIC}') AS ar FROM documents)
 SELECT doc_id, ar, translate(ar, '{T.ARABIC}', '{T.BUCKWALTER.replace(chr(39), chr(39) * 2)}') AS back FROM t""",
-    "clocks": f"""SELECT l_orderkey, l_linenumber, {_clock("(l_quantity * 100 + l_linenumber)")} AS clock, l_quantity * 100 + l_linenumber AS back, l_linenumber * 3600 + floor(l_quantity) * 60 + 5 AS spoken FROM lineitem WHERE l_orderkey < 3000""",
+    "clocks": f"""SELECT l_orderkey, l_linenumber, {_clock("(l_quantity * 100 + l_linenumber)")} AS clock, l_quantity * 100 + l_linenumber AS back, l_linenumber * 3600 + floor(l_quantity) * 60 + 5 AS spoken FROM lineitem""",
     "id_functions": """SELECT p_partkey, 'utt' || lpad(p_partkey::VARCHAR, 7, '0') || '_s' || lpad(p_size::VARCHAR, 7, '0') AS padded, 'corpus' || p_size AS dataset, string_split(p_type, ' ')[-1] AS "last",
 array_to_string(string_split(p_type, ' ')[1:2], ' ') AS two, lower(replace(p_type, ' ', '_')) AS speaker FROM part""",
     "roman_numbers": f"""SELECT r AS roman, v AS value, count(*) AS n FROM (SELECT {_ROMAN}[(o_orderkey % 10 + 1)::INT] AS r, [1, 4, 9, 14, 19, 40, 90, 400, 1994, 2025][(o_orderkey % 10 + 1)::INT] AS v FROM orders) GROUP BY 1, 2""",

@@ -18,9 +18,8 @@ QUERIES = plans.queries()
 
 @pytest.fixture(scope="module")
 def pairs(duck):
-    """doc_id, lang, reference and hypothesis of whole documents, from the SQL without its cut."""
-    sql = texts._PAIRS.replace("[1:40]", "")
-    return duck.execute(f"WITH {sql} SELECT doc_id, lang, array_to_string(w, ' '), array_to_string(h, ' ') FROM p ORDER BY doc_id").fetchall()
+    """doc_id, lang, reference and hypothesis of whole documents, from the SQL."""
+    return duck.execute(f"WITH {texts._PAIRS} SELECT doc_id, lang, array_to_string(w, ' '), array_to_string(h, ' ') FROM p ORDER BY doc_id").fetchall()
 
 
 def test_pairs_are_whole(spark, pairs):
