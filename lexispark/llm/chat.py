@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import let, running
+
 START, END = "<|im_start|>", "<|im_end|>"
 _MASK = "array<struct<start:int,end:int>>"
 
@@ -36,24 +38,25 @@ def render(turns: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """How many turns both begin with."""
+    """How many turns both begin with; null and empty are alike, as in what is rendered."""
     n = F.least(F.size(a), F.size(b))
-    same = lambda i: F.element_at(a, i)["role"].eqNullSafe(F.element_at(b, i)["role"]) & F.element_at(a, i)["text"].eqNullSafe(F.element_at(b, i)["text"])
+    said = lambda turns, i, c: F.coalesce(F.element_at(turns, i)[c], F.lit(""))
+    same = lambda i: (said(a, i, "role") == said(b, i, "role")) & (said(a, i, "text") == said(b, i, "text"))
     differs = F.transform(F.sequence(F.lit(1), n), lambda i: ~same(i))
     return F.when(n == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(differs, True), F.lit(0)) - 1, n)).cast("int")
 
 
 def loss_mask(turns: Column) -> Column:
     """The spans of render(turns) that assistant turns say."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_MASK).alias("spans"))
+    sizes = F.transform(turns, lambda t: F.struct(F.length(_head(t)).alias("head"), F.length(_body(t)).alias("body"), t["role"].eqNullSafe("assistant").alias("counts")))
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(_head(t))
-        end = start + F.length(_body(t))
-        said = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), F.when(t["role"].eqNullSafe("assistant"), said).otherwise(acc["spans"]).alias("spans"))
+    def span(x: Column) -> Column:
+        at = lambda s, i: F.get(x["starts"], i) + s["head"]
+        all_ = F.transform(x["sizes"], lambda s, i: F.struct(at(s, i).alias("start"), (at(s, i) + s["body"]).alias("end"), s["counts"].alias("counts")))
+        return F.transform(F.filter(all_, lambda s: s["counts"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+    starts = lambda s: running(F.transform(s, lambda t: t["head"] + t["body"]), F.lit(0), lambda a, b: a + b)
+    return let(sizes, lambda s: let(F.struct(s.alias("sizes"), starts(s).alias("starts")), span)).cast(_MASK)
 
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -89,13 +92,13 @@ def _sql_side(side: str, second: str) -> str:
 
 
 SQL = f"""
-WITH t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, second ORDER BY turn, role, text) AS k,
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, second ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS k,
   '{START}' || replace(replace(coalesce(role, ''), '{START}', '<im_start>'), '{END}', '<im_end>') || chr(10) AS head,
   replace(replace(coalesce(text, ''), '{START}', '<im_start>'), '{END}', '<im_end>') || '{END}' || chr(10) AS body
   FROM (SELECT floor(conv_id / 2.0)::BIGINT AS pair_id, conv_id % 2 <> 0 AS second, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 sizes AS (SELECT pair_id, least(count(*) FILTER (NOT second), count(*) FILTER (second)) AS m FROM t GROUP BY pair_id),
 diff AS (SELECT a.pair_id, min(a.k) AS k FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.k = b.k AND NOT a.second AND b.second
-  WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY a.pair_id),
+  WHERE coalesce(a.role, '') <> coalesce(b.role, '') OR coalesce(a.text, '') <> coalesce(b.text, '') GROUP BY a.pair_id),
 p AS (SELECT pair_id, coalesce(k - 1, m)::INT AS n_prefix FROM sizes LEFT JOIN diff USING (pair_id)),
 prompts AS (SELECT pair_id, string_agg(head || body, '' ORDER BY k) AS prompt FROM t JOIN p USING (pair_id) WHERE NOT second AND k <= n_prefix GROUP BY pair_id)
 SELECT pair_id, n_prefix, coalesce(prompt, '') AS prompt, coalesce(chosen_completion, '') AS chosen_completion, coalesce(chosen_mask, '') AS chosen_mask,

@@ -7,12 +7,13 @@ import shutil
 import string
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.session import ship  # noqa: F401  for the operators
+
 #: Type of the span arrays that `find_spans` returns; offsets are code points, `end` is exclusive.
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -32,19 +33,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per application), for the functions that run in Python there."""
-    context = spark.sparkContext
-    if _own.get("shipped") != context.applicationId:
-        folder = tempfile.mkdtemp(prefix="lexispark-")
-        atexit.register(shutil.rmtree, folder, True)
-        with zipfile.ZipFile(f"{folder}/lexispark_code.zip", "w") as out:
-            for path in sorted(Path(__file__).parents[1].rglob("*.py")):
-                out.write(path, path.relative_to(Path(__file__).parents[2]))
-        context.addPyFile(f"{folder}/lexispark_code.zip")
-        _own["shipped"] = context.applicationId
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -68,28 +56,58 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))).cast("long")
 
 
-def find_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column], chunk: int = 64) -> Column:
+    """For each element of an array, the fold of all before it (`zero` for the first); `add` must be associative.
+
+    Folded by chunks of 64 and then over the chunks, so that an array of n elements takes some n * (32 + n / 8192) steps and copies nothing that grows.
+    """
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda c: F.slice(v, c * chunk + 1, chunk))
+    fold = lambda v: F.aggregate(v, zero, add)
+
+    def spread(s: Column) -> Column:
+        part = lambda x, c: let(fold(F.slice(s["sums"], F.lit(1), c)), lambda base: F.transform(x, lambda _, i: F.aggregate(F.slice(x, F.lit(1), i), base, add)))
+        return F.flatten(F.transform(s["chunks"], part))
+
+    chunked = lambda v: let(cut(v), lambda c: let(F.struct(c.alias("chunks"), F.transform(c, fold).alias("sums")), spread))
+    return let(values, lambda v: F.when(F.size(v) > 0, chunked(v)).otherwise(F.array().cast("array<int>")))
+
+
+def find_spans(text: Column, pattern: str, gate: Column | None = None, around: tuple[int, int] | None = None) -> Column:
     """Leftmost non-overlapping matches of a Java regex with their code point offsets.
 
     `split` yields what lies between the matches and `regexp_extract_all` the matches, both by the
     same left-to-right search, so their lengths add up to the offsets. `gate` is a cheap condition that
-    holds for every text with a match: other texts are not searched.
+    holds for every text with a match: other texts are not searched. With `around`, spans have `before` and `after`:
+    so many characters of context at most, that reach into the neighbouring match but not past it.
     """
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
-    )
-
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value")))
-        return F.struct(
-            F.coalesce(end, start).alias("at"), F.when(part["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], found)).alias("spans")
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    spans = F.aggregate(parts, zero, step, lambda acc: acc["spans"])
-    return spans if gate is None else F.when(gate, spans).otherwise(F.array().cast(SPANS))
+    none = F.array().cast(SPANS if around is None else SPANS[:-2] + ",before:string,after:string>>")
+
+    def placed(x: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            gap = F.get(x["gaps"], i)
+            start = F.get(x["starts"], i) + F.length(gap)
+            fields = [start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value")]
+            if around is not None:
+                previous = F.when(i > 0, F.get(x["hits"], i - 1)).otherwise("")
+                follow = F.concat(F.get(x["gaps"], i + 1), F.coalesce(F.get(x["hits"], i + 1), F.lit("")))
+                fields += [F.right(F.concat(previous, gap), F.lit(around[0])).alias("before"), F.left(follow, F.lit(around[1])).alias("after")]
+            return F.struct(*fields)
+
+        return F.transform(x["hits"], span)
+
+    def found(x: Column) -> Column:
+        sizes = F.transform(x["hits"], lambda hit, i: F.length(F.get(x["gaps"], i)) + F.length(hit))
+        with_starts = F.struct(x["hits"].alias("hits"), x["gaps"].alias("gaps"), running(sizes, F.lit(0), lambda a, b: a + b).alias("starts"))
+        return F.when(F.size(x["hits"]) > 0, let(with_starts, placed)).otherwise(none)
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    spans = let(parts, found)
+    return spans if gate is None else F.when(gate, spans).otherwise(none)
 
 
 def digits_of(value: Column) -> Column:

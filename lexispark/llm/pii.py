@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import boosting
-from lexispark.llm.common import digits_of, find_spans, luhn_ok, span_string
+from lexispark.llm.common import digits_of, find_spans, let, luhn_ok, running, span_string
 from lexispark.llm.pii_examples import examples
 
 KINDS = ("email", "ip", "card", "phone")
@@ -98,13 +98,12 @@ def base_spans(kind: str, text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """All proposals of the loose rules, with their context."""
-    found = F.concat(*[_named(k, find_spans(text, LOOSE[k], _gate(k, text, True))) for k in KINDS])
-    return F.transform(
-        found,
-        lambda s: s.withField("before", F.substr(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))).withField(
-            "after", F.substr(text, s["end"] + 1, F.lit(AFTER))
-        ),
-    )
+    named = lambda k: lambda s: F.struct(
+        F.lit(KINDS.index(k)).alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"), s["value"].alias("value"),
+        s["before"].alias("before"), s["after"].alias("after"),
+    )
+    found = {k: find_spans(text, LOOSE[k], _gate(k, text, True), (BEFORE, AFTER)) for k in KINDS}
+    return F.concat(*[F.transform(spans, named(k)) for k, spans in found.items()])
 
 
 def features(s: Column) -> Column:
@@ -119,7 +118,7 @@ def features(s: Column) -> Column:
         F.length(F.regexp_replace(value, "[^A-Za-z]", "")),
         F.length(value),
         F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")),
-        (n >= 12) & luhn_ok(value),
+        n.between(12, 20) & luhn_ok(value),
         value.contains("@"),
         F.lower(value).rlike(r"\bat\b.*\bdot\b"),
         value.rlike(r"^(\+|00)"),
@@ -170,28 +169,53 @@ def model_for(spark: SparkSession, n_examples: int = 2400, seed: int = 7, precis
     return _fitted(_examples[key], precision)
 
 
+def _greedy(run: Column) -> Column:
+    """Of overlapping spans (rank first, base spans before all) those that meet no better one that is kept; base spans are all kept."""
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    ranked = F.reverse(F.array_sort(run))
+    none = F.slice(run, 1, 0)
+    add = lambda kept, s: F.when(s["base"] | ~F.exists(kept, lambda k: overlap(k, s)), F.concat(kept, F.array(s))).otherwise(kept)
+    return F.when(F.size(run) == 1, run).otherwise(F.aggregate(ranked, none, add))
+
+
+def without_overlaps(spans: Column) -> Column:
+    """`_greedy` over each run of spans that overlap one another, directly or through others. A run's cost is the square of its own length only."""
+
+    def runs(x: Column) -> Column:
+        """x has `all`, sorted by start, and `reach`, the greatest end before each span."""
+        n = F.size(x["all"])
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(x["all"], i)["start"] >= F.get(x["reach"], i)))
+        return let(first, lambda f: F.flatten(F.transform(f, lambda a, j: let(F.slice(x["all"], a + 1, F.coalesce(F.get(f, j + 1), n) - a), _greedy))))
+
+    by_start = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(0)
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    ordered = let(F.array_sort(spans, by_start), lambda s: F.struct(s.alias("all"), reach(s).alias("reach")))
+    return F.when(F.size(spans) > 1, let(ordered, runs)).otherwise(spans)
+
+
 def detect(docs: DataFrame, text_col: str = "text", n_examples: int = 2400, seed: int = 7, precision: float = 0.98) -> DataFrame:
     """`docs` with `pii_base` and `pii`: arrays of struct(order, start, end, kind, value) sorted by kind, then start.
 
-    `pii` holds every base span and each accepted candidate that overlaps neither a base span nor a
-    better accepted candidate. Columns of these two names in `docs` are replaced.
+    `pii` holds every base span and, from the best score down, each accepted candidate that overlaps neither a base span nor a
+    candidate taken before. Columns of these two names in `docs` are replaced.
     """
     model, limits = model_for(docs.sparkSession, n_examples, seed, precision)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    score = lambda s: model.expression(lambda i: s["f"][i])
     limit = lambda s: functools.reduce(lambda a, k: F.when(s["order"] == k, F.lit(limits[k])).otherwise(a), limits, F.lit(2.0))
-    plain = lambda s: F.struct(*[s[c].alias(c) for c in ("order", "start", "end", "kind", "value")])
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    names = ("order", "start", "end", "kind", "value")
+    # the rank is in the first fields
+    ranked = lambda s, p, base: F.struct(
+        p.alias("p"), (s["end"] - s["start"]).alias("size"), (-s["start"]).alias("early"), (-s["order"]).alias("low"), F.lit(base).alias("base"), *[s[c].alias(c) for c in names]
+    )
 
     df = docs.withColumn("pii_base", F.array_sort(F.concat(*[base_spans(k, text) for k in KINDS])))
-    df = df.withColumn("__lx_c", F.transform(candidates(text), lambda s: s.withField("f", features(s)).dropFields("before", "after")))
-    # what a base span already covers is decided
-    df = df.withColumn("__lx_c", F.filter("__lx_c", lambda s: ~F.exists(F.col("pii_base"), lambda b: overlap(s, b))))
-    df = df.withColumn("__lx_c", F.transform("__lx_c", lambda s: s.withField("p", score(s)).dropFields("f")))
+    df = df.withColumn("__lx_c", candidates(text))
+    df = df.withColumn("__lx_c", F.transform("__lx_c", lambda s: let(features(s), lambda f: ranked(s, model.expression(lambda i: f[i]), False))))
     df = df.withColumn("__lx_c", F.filter("__lx_c", lambda s: s["p"] >= limit(s)))
-    rank = lambda s: F.struct(s["p"], s["end"] - s["start"], -s["start"], -s["order"])
-    kept = F.filter("__lx_c", lambda s: ~F.exists(F.col("__lx_c"), lambda o: overlap(s, o) & (rank(o) > rank(s))))
-    return df.withColumn("pii", F.array_sort(F.concat("pii_base", F.transform(kept, plain)))).drop("__lx_c")
+    base = F.transform("pii_base", lambda s: ranked(s, F.lit(2.0), True))
+    df = df.withColumn("__lx_c", F.when(F.size("__lx_c") > 0, F.concat(base, F.col("__lx_c"))))
+    plain = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in names])))
+    return df.withColumn("pii", F.when(F.col("__lx_c").isNull(), F.col("pii_base")).otherwise(plain(without_overlaps(F.col("__lx_c"))))).drop("__lx_c")
 
 
 def redact(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:

@@ -359,3 +359,41 @@ def test_links_of_a_cluster(spark, monkeypatch):
             assert {roots.get(signed(v), signed(v)) for v in members} == {least}
     monkeypatch.undo()
     assert simhash.links(nodes).count() <= 4 * len(cluster | set(chain))
+
+
+def test_running(spark):
+    from lexispark.llm.common import running
+
+    for n in (0, 1, 63, 64, 65, 1000):
+        values = [i * 7 % 11 for i in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>").select(running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("v"), F.lit(-1), lambda a, b: F.greatest(a, b)).alias("m"))
+        row = df.first()
+        assert row.s == [sum(values[:i]) for i in range(n)] and row.m == [max([-1, *values[:i]]) for i in range(n)]
+
+
+def test_many_matches_in_a_text(spark, documents):
+    """Work grows with the text, not with the square of its matches."""
+    import time
+
+    began = time.time()
+    phones = "+49 30 1234567, " * 20_000
+    row = pii.digest(documents([(1, phones)])).first()
+    assert row.n_phone == 20_000 and row.base_sha256 == hashlib.sha256(",".join(f"phone:{16 * i}:{16 * i + 14}" for i in range(20_000)).encode()).hexdigest()
+    row = secrets.digest(documents([(1, "token=abcdef " * 40_000)])).first()
+    assert row.n_assign == 40_000 and row.spans.endswith(f"assign:{13 * 39_999}:{13 * 40_000 - 1}")
+    assert time.time() - began < 60
+
+
+def test_greedy_overlaps(spark):
+    """Of a chain a > b > c where b overlaps both, a and c stay; base spans all stay."""
+    fields = "p double, size int, early int, low int, base boolean, `order` int, start int, `end` int, kind string, value string"
+    span = lambda p, a, b, base=False: (p, b - a, -a, 0, base, 0, a, b, "email", "")
+    df = spark.createDataFrame([([span(0.9, 0, 5), span(0.8, 4, 9), span(0.7, 8, 12)],), ([span(2.0, 0, 5, True), span(2.0, 3, 8, True), span(0.99, 7, 9), span(0.5, 9, 10)],), ([],)], f"s array<struct<{fields}>>".replace(" string", ":string").replace(" double", ":double").replace(" int", ":int").replace(" boolean", ":boolean"))
+    got = [sorted((x.start, x.end) for x in r.k) for r in df.select(pii.without_overlaps(F.col("s")).alias("k")).collect()]
+    assert got == [[(0, 5), (8, 12)], [(0, 5), (3, 8), (9, 10)], []]
+
+
+def test_chat_null_and_empty(spark):
+    turns = [(0, 0, "user", None), (0, 1, None, "x"), (1, 0, "user", ""), (1, 1, "", "x"), (1, 2, "assistant", "y")]
+    row = chat.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
+    assert row.n_prefix == 2 and row.chosen_completion == "" and row.rejected_mask == "22:34"
