@@ -1,13 +1,17 @@
 """Secret scans over a trigram inverted index.
 
 Each rule is a regex. Its Boolean trigram query says which trigrams a text must hold for the rule to match
-(`lexispark.llm.trigrams`). The index has a posting for each trigram that some query names; a posting is a
-bitmap over rows, and it is kept where its rows are, one bit per row and trigram. Postings are intersected
-and united by bit operations, without a shuffle, and only rows that remain are searched by the rule's
-regex, which verifies them. Rules without mandatory trigrams scan every row.
+(`lexispark.llm.trigrams`), as a union of intersections. The index is over the distinct texts: they are numbered, one pass finds
+the trigrams of each that some query names, and each trigram's posting is a bitmap over a block of 32768 numbers. Per block the
+bitmaps are intersected and united as each rule asks, and the bits that are left name the rule's candidates. Only they are
+searched by the rule's regex, which verifies them. Rules without mandatory trigrams scan every text.
 
-Defined results: a null or empty text has no spans; repeated rows each get the same result; texts are searched
-whole; other columns of the input are not looked at.
+What is shuffled is narrow: a text's hash and the trigrams found in it, and four kilobytes for a block and trigram. Candidates
+(hash and rules) meet the documents by a broadcast as long as they are few enough to be proven small, else by a merge join, which
+shuffles the texts.
+
+Defined results: a null or empty text has no spans; repeated rows, and rows of equal texts, each get the same result, from one entry of
+the index; texts are searched whole; an empty table gives an empty table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import find_spans, span_string
-from lexispark.llm.trigrams import Query, query, vocabulary
+from lexispark.llm.common import find_spans, materialize, span_string
+from lexispark.llm.trigrams import conjunctions, finder, query, slim, vocabulary
 
 
 @dataclass(frozen=True)
@@ -61,48 +65,82 @@ RULES = BASE_RULES + MORE_RULES
 BASE_KINDS = tuple(r.kind for r in BASE_RULES)
 
 
-def posting_bits(low: Column, grams: list[str]) -> list[Column]:
-    """The row's bits in the postings of `grams`, from its text in lower case: 62 trigrams to a long."""
-    bit = lambda g, i: F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return [
-        functools.reduce(lambda a, b: a.bitwiseOR(b), [bit(g, i) for i, g in enumerate(grams[at : at + 62])]) for at in range(0, len(grams), 62)
-    ]
-
-
-def holds(q: Query, bits: list[Column], grams: list[str]) -> Column:
-    """Whether the row is in the intersection and union of postings that `q` asks for."""
-    if q is True:
-        return F.lit(True)
-    if isinstance(q, str):
-        word, i = divmod(grams.index(q), 62)
-        return bits[word].bitwiseAND(F.lit(1 << i).cast("long")) != 0
-    op = (lambda a, b: a & b) if q[0] == "and" else (lambda a, b: a | b)
-    return functools.reduce(op, [holds(p, bits, grams) for p in q[1]])
+#: Candidates are broadcast up to this many bytes, at CANDIDATE_BYTES each in an executor's hash table.
+BROADCAST_BYTES = 64 << 20
+CANDIDATE_BYTES = 96
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def unions(rules: tuple[Rule, ...]) -> list[list[frozenset[str]] | None]:
+    """The trigram query of each rule, as a union of intersections; None for a rule that scans every text."""
+    return [slim(conjunctions(query(r.regex))) for r in rules]
+
+
+def index(docs: DataFrame, text_col: str, grams: list[str]) -> tuple[DataFrame, DataFrame]:
+    """entries (key, row) of the distinct texts with a trigram of the vocabulary, and the postings (block, gram, bitmap) over them."""
+    text = F.col(text_col)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(finder(grams)), F.lit(1)))
+    rows = docs.select(_key(text).alias("key"), found.alias("grams")).filter(F.size("grams") > 0)
+    rows = rows.groupBy("key").agg(F.first("grams").alias("grams")).withColumn("row", F.monotonically_increasing_id())
+    entries = materialize(rows, "entries")
+    bits = entries.select(F.bitmap_bucket_number("row").alias("block"), F.bitmap_bit_position("row").alias("bit"), F.explode("grams").alias("gram"))
+    return entries.select("key", "row"), bits.groupBy("block", "gram").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def candidates(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """key (the text's MD5) and rules (a bit for each rule that the index can't rule out), written; texts with none are left out."""
+    wanted = unions(rules)
+    entries, postings = index(docs, text_col, vocabulary(*wanted))
+    # gram -> (rule, intersection, how many postings it has)
+    uses: dict[str, list[Column]] = {}
+    for i, union in enumerate(wanted):
+        for j, c in enumerate(union or ()):
+            for g in sorted(c):
+                uses.setdefault(g, []).append(F.struct(F.lit(i).alias("rule"), F.lit(j).alias("part"), F.lit(len(c)).alias("n")))
+    table = F.create_map(*[x for g in sorted(uses) for x in (F.lit(g), F.array(*uses[g]))])
+    parts = postings.select("block", "bitmap", F.explode(F.element_at(table, F.col("gram"))).alias("u")).select("block", "bitmap", "u.*")
+    # an intersection lacks a posting that has no bit in the block
+    both = parts.groupBy("block", "rule", "part", "n").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("found")).filter("found = n")
+    either = both.groupBy("block", "rule").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    blocks = either.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rule", "bitmap"))).alias("bitmaps"))  # a bitmap per rule
+    hits = entries.withColumn("__b", F.bitmap_bucket_number("row")).withColumn("__i", F.bitmap_bit_position("row"))
+    hits = hits.join(blocks, F.col("__b") == F.col("block"))
+    byte = lambda i: F.substring(F.element_at("bitmaps", F.lit(i)), F.expr("cast(__i div 8 + 1 as int)"), F.lit(1))
+    bit = lambda i: F.conv(F.hex(byte(i)), 16, 10).cast("long").bitwiseAND(F.expr("shiftleft(1L, cast(__i % 8 as int))")) != 0
+    named = [F.when(bit(i), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, union in enumerate(wanted) if union]
+    hits = hits.select("key", functools.reduce(lambda a, b: a.bitwiseOR(b), named).alias("rules"))
+    return materialize(hits.filter("rules <> 0"), "candidates")
 
 
 def _verified(rule: Rule, text: Column, gate: Column) -> Column:
-    spans = find_spans(text, rule.regex, gate & text.rlike(rule.regex))
+    spans = find_spans(text, rule.regex, gate)
     value = lambda s: F.regexp_extract(s["value"], f"^(?:{rule.regex})$", rule.group) if rule.group else s["value"]
     return F.filter(spans, lambda s: F.length(value(s)) >= rule.least) if rule.least else spans
 
 
-def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`docs` with `secrets`: array of struct(start, order, end, kind, value), by start, then by the rules' order.
 
     A column of that name in `docs` is replaced.
     """
-    queries = {r.kind: query(r.regex) for r in rules}
-    grams = vocabulary(*queries.values())
+    wanted = unions(rules)
+    names = [c for c in docs.columns if c != "secrets"]
+    rows = docs.select(*[docs[c] for c in names])
+    if any(wanted):
+        found = candidates(docs, text_col, rules).withColumnsRenamed({"key": "__lx_key", "rules": "__lx_rules"})
+        few = found.count() * CANDIDATE_BYTES <= broadcast_bytes
+        rows = rows.join(F.broadcast(found) if few else found.hint("merge"), _key(rows[text_col]) == F.col("__lx_key"), "left")
+    else:
+        rows = rows.withColumn("__lx_rules", F.lit(0).cast("long"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # a column of its own, or each trigram would lower the text again
-    df = docs.withColumn("__lx_low", F.lower(text))
-    names = [f"__lx_bits{i}" for i in range(-(-len(grams) // 62))]
-    for name, column in zip(names, posting_bits(F.col("__lx_low"), grams), strict=True):
-        df = df.withColumn(name, column)
-    bits = [F.col(n) for n in names]
 
     def named(i: int, rule: Rule) -> Column:
-        spans = _verified(rule, text, holds(queries[rule.kind], bits, grams))
+        chosen = F.coalesce(F.col("__lx_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(False))
+        # a rule that scans every text decides by its regex alone which ones are cut up
+        spans = _verified(rule, text, chosen if wanted[i] else text.rlike(rule.regex))
         return F.transform(
             spans,
             lambda s: F.struct(
@@ -110,8 +148,8 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
             ),
         )
 
-    found = [named(i, rule) for i, rule in enumerate(rules)]
-    return df.withColumn("secrets", F.array_sort(F.concat(*found))).drop("__lx_low", *names)
+    spans = F.array_sort(F.concat(*[named(i, rule) for i, rule in enumerate(rules)]))
+    return rows.select(*names, spans.alias("secrets"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

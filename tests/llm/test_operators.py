@@ -105,12 +105,17 @@ def test_trigram_queries():
     def holds(q, text):
         return q is True or (q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, text) for p in q[1]))
 
-    for regex in ["abc(de|fgh)?x", "(foo|bar)+baz", "a[bc]cde", "[Xx][Yy][Zz]w", "abcd{2}e", "(?:ab|a)cde*f"]:
+    for regex in ["abc(de|fgh)?x", "(foo|bar)+baz", "a[bc]cde", "[Xx][Yy][Zz]w", "abcd{2}e", "(?:ab|a)cde*f", "x[aby]{1,3}z", "a(b|c)?d{2,}e", "(a|bc)(de|f)g[xyz]w", "ab(c[de]*f)+o"]:
         q = trigrams.query(regex)
+        unions = [trigrams.conjunctions(q), trigrams.conjunctions(q, 2), trigrams.slim(trigrams.conjunctions(q), 2)]
         for _ in range(3000):
             text = "".join(r.choice("abcdefgxyzwor") for _ in range(9))
-            assert not re.search(regex, text) or holds(q, text.lower())
-    assert trigrams.query("[0-9a-f]{24,}") is True and trigrams.query("a|bcd") is True
+            if re.search(regex, text):
+                assert holds(q, text.lower())
+                assert all(u is None or any(all(g in text.lower() for g in c) for c in u) for u in unions)
+    assert trigrams.query("[0-9a-f]{24,}") is True and trigrams.query("a|bcd") is True and trigrams.query("éab") is True
+    assert trigrams.conjunctions(trigrams.query("gh[ps]_")) == [frozenset(["ghp", "hp_"]), frozenset(["ghs", "hs_"])]
+    assert re.findall(trigrams.finder(["a-b", "-bc", "ab."]), "xa-bcab.") == ["a-b", "-bc", "ab."]
 
 
 def test_mixing(spark, documents):
@@ -397,3 +402,26 @@ def test_chat_null_and_empty(spark):
     turns = [(0, 0, "user", None), (0, 1, None, "x"), (1, 0, "user", ""), (1, 1, "", "x"), (1, 2, "assistant", "y")]
     row = chat.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
     assert row.n_prefix == 2 and row.chosen_completion == "" and row.rejected_mask == "22:34"
+
+
+def test_secret_index(spark, documents):
+    """The index names the texts that hold an intersection of a rule's trigrams, and no others are searched by it."""
+    r = random.Random(8)
+    words = ["token", "tok", "ken", "pass", "word", "password:", "api_key=", "AKIA" + "Z9" * 10, "xoxb-" + "1a" * 6, "ghp_" + "a1" * 18, "eyJ", "://", "plain", "é"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 4))) for _ in range(300)] + [None, "", "TOKEN = abcdefgh"] + ["token=repeated"] * 400
+    docs = documents(list(enumerate(texts))).repartition(5)
+    wanted = secrets.unions(secrets.RULES)
+    expected = {}
+    for t in texts:
+        bits = sum(1 << i for i, u in enumerate(wanted) if u and any(all(g in (t or "").lower() for g in c) for c in u))
+        if bits:
+            expected[hashlib.md5(t.encode()).digest()] = bits
+    got = [(bytes(x.key), x.rules) for x in secrets.candidates(docs).collect()]
+    assert len(got) == len(expected) < len(set(texts)) and dict(got) == expected
+    key = lambda df: sorted((x.doc_id, x.spans) for x in df.collect())
+    digests = [key(secrets.scan(docs, broadcast_bytes=b).select("doc_id", secrets.span_string(F.col("secrets")).alias("spans"))) for b in (secrets.BROADCAST_BYTES, 0)]
+    assert digests[0] == digests[1] and len(digests[0]) == len(texts)
+    # a rule whose candidates are taken away finds nothing: it depends on the index
+    only = secrets.scan(docs, rules=(secrets.Rule("odd", "[0-9a-f]{4}zzqj"), secrets.BASE_RULES[0]))
+    assert only.filter(F.size("secrets") > 0).count() == sum(bool(re.search(secrets.BASE_RULES[0].regex, t or "")) and any(len(m[2]) >= 6 for m in re.finditer(secrets.BASE_RULES[0].regex, t or "")) for t in texts)
+    assert secrets.scan(docs.limit(0)).count() == 0
