@@ -425,3 +425,49 @@ def test_secret_index(spark, documents):
     only = secrets.scan(docs, rules=(secrets.Rule("odd", "[0-9a-f]{4}zzqj"), secrets.BASE_RULES[0]))
     assert only.filter(F.size("secrets") > 0).count() == sum(bool(re.search(secrets.BASE_RULES[0].regex, t or "")) and any(len(m[2]) >= 6 for m in re.finditer(secrets.BASE_RULES[0].regex, t or "")) for t in texts)
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_mixing_ties(spark, documents):
+    """Null and repeated ids, and rows that are equal in all, fill their source's target like others; against brute force."""
+    a = [(i, "w " * 50) for i in range(20)]
+    b = [(None, "w " * 50)] * 12 + [(None, "v " * 50 + str(i)) for i in range(8)]
+    c = [(7, "x " * 50)] * 20
+    docs = documents(a, source="a").unionByName(documents(b, source="b")).unionByName(documents(c, source="c")).unionByName(documents([(1, None), (1, None), (2, "")], source="d"))
+    rows = mixing.mix(docs).collect()
+    assert all(x.taken <= 2 * x.size and x.copies <= 2 for x in rows)
+    made: dict = {}
+    for x in rows:
+        made.setdefault(x.source, []).append(x)
+    for source, mine in made.items():
+        target, size = mine[0].target, sum(x.size for x in mine)
+        assert size == mine[0].source_size and abs(sum(x.taken for x in mine) - target) <= 51, source
+    # brute force: all rows by the hash of id, text and number among equal rows
+    seen: dict = {}
+    keyed = []
+    for r in docs.collect():
+        key = (r.doc_id, r.text or "", r.source)
+        n = seen[key] = seen.get(key, -1) + 1
+        h = int(hashlib.md5("|".join(["" if r.doc_id is None else str(r.doc_id), hashlib.md5((r.text or "").encode()).hexdigest(), str(n)]).encode()).hexdigest()[:8], 16)
+        keyed.append((r.source, h, len((r.text or "").split())))
+    for source, mine in made.items():
+        target, size = mine[0].target, mine[0].source_size
+        whole = int(target // size) if size else 0
+        left, taken, rest = target - whole * size, 0, []
+        for _, h, n in sorted(k for k in keyed if k[0] == source):
+            if rest or taken + n > left:
+                rest.append((h, n))
+            else:
+                taken += n
+        gap, more = left - taken, 0
+        for _, n in rest:
+            if n <= gap:
+                if more + n > gap:
+                    break
+                more += n
+        assert sum(x.taken for x in mine) == whole * size + taken + more
+    key = lambda df: sorted((str(x.doc_id), x.text or "", x.source) for x in df.collect())
+    took = mixing.take(docs)
+    assert took.columns == docs.columns and key(took) == key(mixing.take(docs.repartition(6)))
+    counts = {s: sum(x.copies for x in m) for s, m in made.items()}
+    assert {s: sum(k[2] == s for k in key(took)) for s in counts} == counts
+    assert mixing.take(docs.limit(0)).count() == 0
