@@ -2,35 +2,46 @@
 
 The tree is fitted on a bounded sample: k-means with `branch` centres splits the sample, and each part again, until a part has `leaf`
 vectors at most. Every vector of the table is put in the leaf that greedy descent finds. A query walks the tree best bin first: a priority queue holds
-the nodes seen so far by the distance to their centres, and gives leaves in that order. How many leaves a query visits is calibrated: on held-out vectors of
-the sample, visits widen until the mean recall against brute force over the sample reaches `recall`.
+the nodes seen so far by the distance to their centres, and gives leaves in that order. How many leaves a query visits is calibrated: on vectors of
+the sample that the tree was not fitted on, visits widen until the mean recall against brute force over the sample reaches `recall`. A query visits on
+until its leaves hold more than k rows.
 
-Visits meet vectors by a grouped pass over blocks: a leaf's vectors are cut into blocks of `block` rows at most by a hash of the id, and a
-leaf's queries into blocks too, so that a leaf with a third of all rows, or of all queries, is many small groups. Each group hands on each query's
+The sample bounds the leaves, so leaves grow with the table. A leaf of more than `split` vectors is therefore split by a second level: a
+k-means tree of its own, fitted on `split` of its vectors at most where these lie, into cells of about `cell` vectors. A query that visits such a leaf walks that tree too,
+and visits the share of its cells that is calibrated in the same way within the leaf.
+
+Visits meet vectors by a grouped pass over blocks: a cell's vectors are cut into blocks of `block` rows at most by a hash of the row, and a
+cell's queries into blocks too, so that a cell with a third of all rows, or of all queries, is many small groups. Each group hands on each query's
 best k only, with exact distances in double precision, and a last pass merges a query's lists.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are of another dimension than most take no part, as query
-or candidate; rows that repeat an id are candidates each; a query never finds rows of its own id; ties go to the smaller id; fewer than k
-candidates are all returned (then every leaf is visited); an empty table gives an empty table.
+or candidate; rows that repeat an id are rows of their own: each is a candidate, and each one that is a query has its own list; a query never finds
+its own row; rows of a null id are candidates, after others of the same distance; ties go to the smaller id; a distance that overflows counts as
+infinite; fewer than k candidates are all returned (then every leaf is visited); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import materialize, ship
 
-#: Vectors that the tree is fitted on at most, those of the smallest id hashes.
+#: Vectors that the tree is fitted on at most, those of the smallest hashes.
 SAMPLE = 20_000
 BLOCK = 4096
 QUERY_BLOCK = 512
+#: Leaves of more vectors than this are split into cells, by a tree fitted on as many of them.
+SPLIT = 8192
+#: Orders rows without an id after all others.
+_NO_ID = (1 << 63) - 1
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +104,16 @@ class Tree:
                 node[at] = a + _nearest(x[at], self.centres[a : a + int(self.count[parent])])
         return self.leaf[node]
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves of a best-bin-first walk."""
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first `most` leaves of a best-bin-first walk, and on until they hold `need` vectors; `sizes` says how many each leaf has."""
         out: list[int] = []
+        held = 0
         heap = [(0.0, 0)]
-        while heap and len(out) < most:
+        while heap and (len(out) < most or held < need):
             _, node = heapq.heappop(heap)
             if self.count[node] == 0:
                 out.append(int(self.leaf[node]))
+                held += int(sizes[out[-1]]) if sizes is not None else 0
                 continue
             a = int(self.first[node])
             near = ((self.centres[a : a + int(self.count[node])] - q) ** 2).sum(1)
@@ -109,32 +122,41 @@ class Tree:
         return out
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, probes: int = 200) -> int:
-    """The fewest leaves with which the first `probes` vectors find that share of their true k neighbours among x."""
-    if len(x) <= k + 1:
+def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, probes: int) -> int:
+    """The fewest leaves with which the first `probes` vectors of x find that share of their true k neighbours among the others."""
+    if len(x) <= k + 1 or not probes:
         return tree.n_leaves
     leaf = tree.assign(x)
-    walks, truths = [], []
+    ranks = []
     for i in range(min(probes, len(x))):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
-        truths.append(leaf[np.lexsort((np.arange(len(x)), d))[:k]])
-        walks.append({b: r for r, b in enumerate(tree.visits(x[i], tree.n_leaves))})
-    ranks = np.array([[w[int(b)] for b in t] for w, t in zip(walks, truths, strict=True)])
-    for most in range(1, tree.n_leaves + 1):
-        if (ranks < most).mean() >= recall:
-            return most
-    return tree.n_leaves
+        walk = np.empty(tree.n_leaves, np.int64)
+        walk[tree.visits(x[i], tree.n_leaves)] = np.arange(tree.n_leaves)
+        ranks.append(walk[leaf[np.lexsort((np.arange(len(x)), d))[:k]]])
+    needed = np.sort(np.concatenate(ranks))
+    return int(needed[min(len(needed) - 1, max(0, int(np.ceil(recall * len(needed))) - 1))]) + 1
+
+
+def fit(x: np.ndarray, k: int, recall: float, probes: int = 200, **params) -> tuple[Tree, int]:
+    """The tree of distinct vectors in random order, and how many leaves to visit. The first ones, at most a tenth, are held out of the fit as probes.
+
+    Distinct, because copies move no border, and as probes they would find each other in a single leaf.
+    """
+    held = min(probes, len(x) // 10)
+    tree = Tree.fit(x[held:], **params)
+    return tree, calibrate(tree, x, k, recall, held)
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
+    """row (unique), vec_id and v (array<double>) of the rows that take part, written."""
     v = F.col(vec_col).cast("array<double>")
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    rows = rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v"), "vectors")
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -142,12 +164,11 @@ def _matrix(values: pd.Series) -> np.ndarray:
 
 
 def build(rows: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> tuple[Tree, int]:
-    """The tree and the number of leaves to visit, from `sample` rows (vec_id, v) at most."""
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r["v"] for r in chosen])
-    # fitted on the distinct ones: copies move no border; the probes are as the table is
-    tree = Tree.fit(np.unique(x, axis=0))
-    return tree, calibrate(tree, x, k, recall)
+    """The tree and the number of leaves to visit, from `sample` distinct vectors at most: those of the smallest hashes."""
+    h = F.xxhash64("v").alias("h")
+    last = rows.select(h).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = rows.select(h, "v").filter(F.col("h") <= last).groupBy("h").agg(F.first("v").alias("v")).collect()
+    return fit(np.array([r["v"] for r in sorted(chosen, key=lambda r: r["h"])]), k, recall)
 
 
 def _placed(shared):
@@ -159,58 +180,144 @@ def _placed(shared):
     return run
 
 
-def _walks(shared, most: int):
+def _walks(shared, most: int, need: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, sizes = shared.value
         for batch in batches:
             if len(batch):
-                yield batch.assign(leaves=[shared.value.visits(q, most) for q in _matrix(batch["v"])])
+                yield batch.assign(leaves=[tree.visits(q, most, sizes, need) for q in _matrix(batch["v"])])
+
+    return run
+
+
+def _fit_leaf(k: int, recall: float, split: int, cell: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(rows.sort_values("h")["v"].head(split))
+        tree, most = fit(x, k, recall, leaf=cell)
+        return pd.DataFrame({"leaf": [key[0]], "tree": [pickle.dumps(tree)], "most": [most]})
 
     return run
 
 
+def _cells_of_rows(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    cell = pickle.loads(trees["tree"].iloc[0]).assign(_matrix(rows["v"])) if len(rows) else np.array([], np.int64)
+    v = rows["v"].astype(object)
+    return pd.DataFrame({"row": rows["row"], "vec_id": rows["vec_id"], "v": v, "leaf": np.full(len(rows), key[0], np.int64), "cell": cell})
+
+
+def _cells_of_queries(need: int):
+    def run(key: tuple, queries: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_row": [], "query_id": [], "v": [], "leaf": [], "cell": []}
+        if len(queries):
+            tree, most = pickle.loads(trees["tree"].iloc[0]), int(trees["most"].iloc[0])
+            sizes = np.zeros(tree.n_leaves, np.int64)
+            for x in trees["sizes"].iloc[0]:
+                sizes[x["cell"]] = x["n"]
+            for row, query, v in zip(queries["query_row"], queries["query_id"], queries["v"], strict=True):
+                for c in tree.visits(np.asarray(v), most, sizes, need):
+                    for name, value in zip(out, (row, query, v, key[0], c), strict=True):
+                        out[name].append(value)
+        return pd.DataFrame({name: pd.Series(values, dtype=object if name == "v" else np.int64) for name, values in out.items()})
+
+    return run
+
+
+def _spread(key: str, salt: int, n: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(salt)), n)
+
+
+def _split(rows: DataFrame, visits: DataFrame, sizes: DataFrame, k: int, recall: float, split: int, cell: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """`rows` and `visits` with the cell of their leaf; visits to a large leaf become visits to cells of it. `sizes` has a row per leaf."""
+    large = sizes.filter(F.col("n") > split).select(F.col("leaf").alias("__leaf"), "n", "different", F.ceil(F.col("n") / block).alias("parts"))
+    large = F.broadcast(materialize(large, "large"))  # fewer than the tree has leaves
+    mine = rows.join(large, F.col("leaf") == F.col("__leaf"))
+    # distinct vectors, twice the wanted share by hash, so that the cut at `split` rarely falls short
+    some = mine.withColumn("h", F.xxhash64("v")).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * split * (1 << 30)) / F.col("different"))
+    some = some.groupBy("leaf", "h").agg(F.first("v").alias("v"))
+    trees = some.groupBy("leaf").applyInPandas(_fit_leaf(k, recall, split, cell), "leaf long, tree binary, most long")
+    trees = materialize(trees, "trees")
+    # a tree goes to each part of its leaf
+    for_rows = trees.join(large, F.col("leaf") == F.col("__leaf")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    mine = mine.withColumn("part", _spread("row", 3, F.col("parts"))).select("leaf", "part", "row", "vec_id", "v")
+    placed = mine.groupBy("leaf", "part").cogroup(for_rows.select("leaf", "part", "tree").groupBy("leaf", "part"))
+    placed = materialize(placed.applyInPandas(_cells_of_rows, "row long, vec_id long, v array<double>, leaf long, cell long"), "cells")
+    counted = placed.groupBy("leaf", "cell").agg(F.count(F.lit(1)).alias("n"))
+    filled = counted.groupBy("leaf").agg(F.collect_list(F.struct("cell", "n")).alias("sizes"))  # no more than a tree's leaves
+    for_visits = trees.join(filled.withColumnRenamed("leaf", "__l"), F.col("leaf") == F.col("__l")).crossJoin(F.broadcast(_parts(rows.sparkSession)))
+    asking = visits.join(large, F.col("leaf") == F.col("__leaf")).withColumn("part", _spread("query_row", 4, F.lit(PARTS)))
+    walked = asking.select("leaf", "part", "query_row", "query_id", "v").groupBy("leaf", "part")
+    walked = walked.cogroup(for_visits.select("leaf", "part", "tree", "most", "sizes").groupBy("leaf", "part"))
+    walked = walked.applyInPandas(_cells_of_queries(k + 1), "query_row long, query_id long, v array<double>, leaf long, cell long")
+    small = lambda df: df.join(large, F.col("leaf") == F.col("__leaf"), "left_anti").withColumn("cell", F.lit(0).cast("long"))
+    return small(rows).unionByName(placed), materialize(small(visits).unionByName(walked), "cell_visits")
+
+
+#: Groups that the queries of a large leaf walk its tree in.
+PARTS = 16
+
+
+def _parts(spark) -> DataFrame:
+    return spark.range(PARTS).withColumnRenamed("id", "part")
+
+
 def _block_search(k: int):
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            x, ids = _matrix(rows["v"]), rows["vec_id"].to_numpy()
-            for q, query_id in zip(_matrix(queries["v"]), queries["query_id"], strict=True):
-                score = np.sqrt(((x - q) ** 2).sum(1))
-                score[ids == query_id] = np.inf
-                top = np.lexsort((ids, score))[:k]
-                top = top[np.isfinite(score[top])]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+            x, ids, numbers = _matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+            for q, row, query_id in zip(_matrix(queries["v"]), queries["query_row"], queries["query_id"], strict=True):
+                with np.errstate(over="ignore"):
+                    score = np.sqrt(((x - q) ** 2).sum(1))
+                top = np.lexsort((numbers, ids, score))[: k + 1]
+                top = top[numbers[top] != row][:k]
+                out.append(pd.DataFrame({"query_row": row, "query_id": query_id, "row": numbers[top], "vec_id": ids[top], "score": score[top]}))
+        none = np.array([], np.int64)
+        return pd.concat(out) if out else pd.DataFrame({"query_row": none, "query_id": none, "row": none, "vec_id": none, "score": np.array([], float)})
 
     return run
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found of `table` for each distinct row of `queries` (both vec_id, v)."""
+def search(table: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK,
+           split: int = SPLIT, cell: int = 64) -> DataFrame:
+    """query_row, query_id, rank, vec_id, score: the k nearest rows found of `table` for each row of `queries`.
+
+    Both have row, vec_id and v, as `valid_vectors` gives them; a row of `queries` doesn't find the one of `table` with the same `row`.
+    """
     spark = table.sparkSession
     ship(spark)
     tree, most = build(table, k, recall, sample) if table.take(1) else (Tree.fit(np.zeros((1, 1))), 1)
     shared = spark.sparkContext.broadcast(tree)  # at most 2 * SAMPLE centres
-    n = table.count()
-    most = tree.n_leaves if n <= k + 1 else most
-    rows = materialize(table.mapInPandas(_placed(shared), "vec_id long, v array<double>, leaf long"), "index")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v").distinct()
-    walks = materialize(asked.mapInPandas(_walks(shared, most), "query_id long, v array<double>, leaves array<long>"), "walks")
-    # one row per leaf: bounded by the tree
-    blocks = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("row_blocks"))
-    visits = walks.select("query_id", "v", F.explode("leaves").alias("leaf"))
-    wanted = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("query_blocks"))
-    plan = F.broadcast(materialize(blocks.join(wanted, "leaf"), "blocks"))
-    spread = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.col("n"))
-    left = visits.join(plan, "leaf").withColumn("n", F.col("query_blocks")).withColumn("qb", spread("query_id", 1))
-    left = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1))).select("leaf", "qb", "rb", "query_id", "v")
-    right = rows.join(plan, "leaf").withColumn("n", F.col("row_blocks")).withColumn("rb", spread("vec_id", 2))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select("leaf", "qb", "rb", "vec_id", "v")
-    key = ["leaf", "qb", "rb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_search(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    known = table.select("row", F.coalesce("vec_id", F.lit(_NO_ID)).alias("vec_id"), "v")
+    rows = materialize(known.mapInPandas(_placed(shared), "row long, vec_id long, v array<double>, leaf long"), "index")
+    sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("different"))
+    sizes = materialize(sizes, "sizes")
+    # a number for each leaf
+    held = np.zeros(tree.n_leaves, np.int64)
+    for r in sizes.collect():
+        held[r["leaf"]] = r["n"]
+    most = tree.n_leaves if held.sum() <= k + 1 else most
+    asked = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "v")
+    walks = asked.mapInPandas(_walks(spark.sparkContext.broadcast((tree, held)), most, k + 1), "query_row long, query_id long, v array<double>, leaves array<long>")
+    visits = materialize(walks, "walks").select("query_row", "query_id", "v", F.explode("leaves").alias("leaf"))
+    if held.max() > split:
+        rows, visits = _split(rows, visits, sizes, k, min(1.0, recall + 0.015), split, cell, block)
+    else:
+        rows, visits = rows.withColumn("cell", F.lit(0).cast("long")), visits.withColumn("cell", F.lit(0).cast("long"))
+    # one row per cell: bounded by the trees
+    blocks = rows.groupBy("leaf", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("row_blocks"))
+    wanted = visits.groupBy("leaf", "cell").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("query_blocks"))
+    plan = materialize(blocks.join(wanted, ["leaf", "cell"]), "blocks")
+    left = visits.join(plan, ["leaf", "cell"]).withColumn("qb", _spread("query_row", 1, F.col("query_blocks")))
+    left = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1))).select("leaf", "cell", "qb", "rb", "query_row", "query_id", "v")
+    right = rows.join(plan, ["leaf", "cell"]).withColumn("rb", _spread("row", 2, F.col("row_blocks")))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select("leaf", "cell", "qb", "rb", "row", "vec_id", "v")
+    key = ["leaf", "cell", "qb", "rb"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_search(k), "query_row long, query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_row", "query_id", "rank", F.nullif("vec_id", F.lit(_NO_ID)).alias("vec_id"), "score")
 
 
 def digest(embeddings: DataFrame, every: int = 100) -> DataFrame:
-    rows = materialize(valid_vectors(embeddings), "vectors")
-    return search(rows, rows.filter(F.col("vec_id") % every == 0))
+    rows = valid_vectors(embeddings)
+    return search(rows, rows.filter(F.col("vec_id") % every == 0)).select("query_id", "rank", "vec_id", "score")
