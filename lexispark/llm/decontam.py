@@ -8,7 +8,8 @@ The set is broadcast only if the benchmark's text is at most `broadcast_bytes`.
 shuffled on their words against the benchmark's.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; a null item_id is reported as "null";
-repeated items count once; repeated documents are rows of their own; an empty benchmark hits nothing.
+repeated items count once; repeated documents are rows of their own; an empty benchmark hits nothing. Columns of a document, whatever
+their names, pass `clean` as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ BROADCAST_BYTES = 64 << 20
 #: Of UTF-8 bytes after lower-casing A-Z: the same words as of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-FOUND = "n_words long, n_hit long, items array<string>, hit_spans array<struct<start:int,end:int>>"
+#: What a scan adds; inside, under names that no table's own columns have.
+ADDED = {"n_words": "long", "n_hit": "long", "items": "array<string>", "hit_spans": "array<struct<start:int,end:int>>"}
+_INNER = {c: f"__lx_{c}" for c in ADDED}
+FOUND = ", ".join(f"{_INNER[c]} {kind}" for c, kind in ADDED.items())
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,7 +124,7 @@ def _scan(shared, columns: list[str], text_col: str):
             # the other columns go through as they are
             kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             found = [pa.array(n_words, pa.int64()), pa.array(n_hits, pa.int64()), pa.array(all_items, pa.list_(pa.string())), pa.array(all_spans, span)]
-            yield pa.RecordBatch.from_arrays([*kept, *found], [*columns, "n_words", "n_hit", "items", "hit_spans"])
+            yield pa.RecordBatch.from_arrays([*kept, *found], [*columns, *_INNER.values()])
 
     return run
 
@@ -150,33 +154,36 @@ def _spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series(out)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int) -> DataFrame:
-    """What `_scan` finds, by a shuffle on the windows' words."""
+def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str, columns: list[str], window: int) -> DataFrame:
+    """What `_scan` finds, by a shuffle on the windows' words. Windows are of a text, whatever rows have it, and so are their hits."""
     ship(docs.sparkSession)
     own = materialize(_windows(benchmark, window, None).select(F.col("gram").alias("__g"), F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("item")).distinct(), "windows")
     lengths = sorted(r[0] for r in own.select(F.size(F.split("__g", " "))).distinct().collect())
-    rows = docs.select(F.col("doc_id").alias("id"), F.col(text_col).alias("text"))
-    hits = _windows(rows, window, lengths or [window]).join(own, F.col("gram") == F.col("__g"))
-    hits = hits.groupBy("id", "th").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("pos"),
-        F.array_sort(F.collect_set("item")).alias("items"),
-    )
-    hits = materialize(hits.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("pos").alias("__pos"), F.size("pos").cast("long").alias("n_hit"), "items"), "hits")
-    n = F.size(F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))).cast("long")
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left").drop("__i", "__t")
-    spans = F.pandas_udf(_spans, "array<struct<start:int,end:int>>")(F.col(text_col), F.col("__pos"))
-    return joined.withColumns({"n_words": n, "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")),
-                               "hit_spans": spans}).drop("__pos")
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), window: int = WINDOW,
+    text = F.col("__lx_text")
+    rows = docs.select(*[docs[c] for c in columns], docs[text_col].alias("__lx_text"), F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))).alias("__lx_key"))
+    texts = rows.select(F.col("__lx_key").alias("id"), text.alias("text")).groupBy("id").agg(F.first("text").alias("text"))
+    hits = materialize(_windows(texts, window, lengths or [window]).join(own, F.col("gram") == F.col("__g")).select("id", "at", "n", "gram", "item"), "window_hits")
+    # an item once, and a position once, however many windows and items meet there
+    items = hits.select("id", "item").distinct().groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("__items"))
+    places = hits.select("id", "at", "n").distinct().select("id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("pos")).distinct()
+    places = places.groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("__pos"))
+    hits = materialize(items.join(places, "id").withColumnRenamed("id", "__i"), "hits")
+    joined = rows.join(hits, F.col("__lx_key") == F.col("__i"), "left")
+    n = F.size(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))).cast("long")
+    spans = F.pandas_udf(_spans, "array<struct<start:int,end:int>>")(text, F.col("__pos"))
+    n_hit = F.when(F.col("__pos").isNull(), 0).otherwise(F.size("__pos")).cast("long")
+    found = {"n_words": n, "n_hit": n_hit, "items": F.coalesce("__items", F.array().cast("array<string>")), "hit_spans": spans}
+    return joined.select(*columns, *[c.alias(_INNER[name]) for name, c in found.items()])
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), window: int = WINDOW,
          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The given columns of `docs` with n_words, n_hit, items (sorted ids as strings) and hit_spans."""
+    """The given columns of `docs` with those of ADDED, under their inner names."""
     bench = benchmark.select(F.col("item_id").alias("id"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     wanted = docs.select(*dict.fromkeys([*columns, text_col]))
     if size > broadcast_bytes:
-        return _joined(wanted, bench, text_col, window).select(*columns, "n_words", "n_hit", "items", "hit_spans")
+        return _joined(wanted, bench, text_col, list(columns), window)
     ship(docs.sparkSession)
     items = [("null" if r["id"] is None else str(r["id"]), r["text"]) for r in bench.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
@@ -185,6 +192,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", columns:
     return wanted.mapInArrow(_scan(shared, list(columns), text_col), f"{schema}, {FOUND}")
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",), **params) -> DataFrame:
+    """The given columns of `docs` with n_words, n_hit, items (sorted ids as strings) and hit_spans; of the given ones those of these names are replaced."""
+    kept = tuple(c for c in columns if c not in ADDED)
+    return _scanned(docs, benchmark, text_col, kept, **params).select(*kept, *[F.col(inner).alias(c) for c, inner in _INNER.items()])
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     df = scan(docs, benchmark)
     return df.select(
@@ -203,14 +216,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text_co
     Columns stay the same.
     """
     names = docs.columns
-    found = scan(docs, benchmark, text_col, tuple(names), broadcast_bytes=broadcast_bytes)
+    found = _scanned(docs, benchmark, text_col, tuple(names), broadcast_bytes=broadcast_bytes)
     if mode == "document":
-        return found.filter("n_hit = 0").select(*names)
-    text, spans = F.col(text_col), F.col("hit_spans")
+        return found.filter(F.col(_INNER["n_hit"]) == 0).select(*names)
+    text, spans = F.col(text_col), F.col(_INNER["hit_spans"])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out"))
     cut = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, cut).otherwise(text)).select(*names)
+    return found.withColumn(text_col, F.when(F.col(_INNER["n_hit"]) > 0, cut).otherwise(text)).select(*names)
 
 
 SQL = r"""
