@@ -8,7 +8,7 @@ The order is total over distinct rows (curve index, CRC of the text, id), so row
 texts are spread over tasks like any others. Ranks come from a range-partitioned, sorted and written copy: counts per
 range, summed over the ranges, plus the place within the range. The rows are shuffled once and no window spans them.
 
-Defined results: nulls have cells and hashes of their own; a null text has size 1 and CRC 0; repeated rows are placed
+Defined results: a null name has a cell of its own; a null text has size 1 and CRC 0, as an empty one; repeated rows are placed
 one by one; an empty table gives an empty table; further columns of the input are not looked at.
 """
 
@@ -65,8 +65,8 @@ def hilbert(dimensions: list[Column], bits: int = BITS) -> Column:
 
 
 def categorical(column: Column, bits: int = BITS) -> Column:
-    """A name's cell: a hash, so that equal names share one."""
-    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    """A name's cell: a hash, so that equal names share one; cell 0 is that of null alone."""
+    return F.coalesce(F.crc32(column.cast("string")) % ((1 << bits) - 1) + 1, F.lit(0)).cast("int")
 
 
 def magnitude(column: Column, bits: int = BITS) -> Column:
