@@ -137,10 +137,11 @@ def features(s: Column) -> Column:
 
 @functools.lru_cache(maxsize=4)
 def _fitted(rows: tuple[tuple[tuple[float, ...], int], ...], precision: float) -> tuple[boosting.Boosted, dict[int, float]]:
-    """Trees from the even rows; from the odd ones, for each kind the lowest threshold with that precision."""
-    model = boosting.fit([r[0] for r in rows[0::2]], [r[1] for r in rows[0::2]])
-    held = rows[1::2]
-    model.calibrate([r[0] for r in held], [r[1] for r in held])
+    """Of every five rows three fit the trees, one calibrates them, and one says, for each kind, the lowest threshold with that precision."""
+    part = lambda *which: [r for i, r in enumerate(rows) if i % 5 in which]
+    fit, platt, held = part(0, 2, 4), part(1), part(3)
+    model = boosting.fit([r[0] for r in fit], [r[1] for r in fit])
+    model.calibrate([r[0] for r in platt], [r[1] for r in platt])
     return model, {
         k: boosting.threshold([model.probability(f) for f, _ in held if f[0] == k], [y for f, y in held if f[0] == k], precision) for k in range(len(KINDS))
     }

@@ -509,3 +509,30 @@ def test_ann_recall_over_the_table(spark, table):
         assert len(found) == 10 and all(abs(s - d[np.nonzero(ids == v)[0][0]]) < 1e-12 for _, v, s in found)
         hit += sum(s <= tenth + 1e-9 for _, _, s in found)
     assert hit / (10 * len(got)) >= 0.9, hit / (10 * len(got))
+
+
+@pytest.mark.parametrize("clash", ["n_words", "n_hit", "items", "hit_spans", "size", "id", "th", "at", "gram", "item"])
+def test_decontam_clashing_names(spark, documents, clash):
+    bench = spark.createDataFrame([(10, "zz yy")], "item_id long, text string")
+    docs = documents([(1, "a zz yy b"), (1, "clean"), (None, "zz yy"), (2, None)]).drop("size").withColumn(clash, F.lit("own"))
+    for limit in (0, 1 << 20):
+        assert sorted((r.doc_id, r.text or "") for r in decontam.clean(docs, bench, broadcast_bytes=limit).collect()) == [(1, "clean"), (2, "")]
+        cut = decontam.clean(docs, bench, "span", broadcast_bytes=limit)
+        assert cut.columns == docs.columns and {r[clash] for r in cut.collect()} == {"own"}
+        assert sorted((r.doc_id or 0, r.text or "") for r in cut.collect()) == [(0, ""), (1, "a  b"), (1, "clean"), (2, "")]
+        assert decontam.scan(docs, bench, columns=("doc_id", clash), broadcast_bytes=limit).filter("n_hit > 0").count() == 2
+
+
+def test_decontam_ways_agree(spark, documents):
+    """Both ways on long and repeated texts, with a window that many items share."""
+    r = random.Random(12)
+    word = lambda: r.choice("ab")
+    bench = spark.createDataFrame([(i, " ".join(word() for _ in range(12))) for i in range(60)] + [(99, "one two"), (98, "one two")], "item_id long, text string")
+    rows = [(i, " ".join(word() for _ in range(r.randrange(0, 60)))) for i in range(40)] + [(50, "b " * 4000 + "one TWO"), (51, "one two"), (51, "one two")]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(decontam.scan(documents(rows), bench, broadcast_bytes=0)) == key(decontam.scan(documents(rows), bench))
+
+
+def test_sharding_null_cell(spark):
+    df = spark.createDataFrame([(None,), ("",), ("a",)] + [(str(i),) for i in range(200)], "s string").select("s", sharding.categorical(F.col("s")).alias("c")).collect()
+    assert [r.s for r in df if r.c == 0] == [None] and max(r.c for r in df) < 1 << sharding.BITS
