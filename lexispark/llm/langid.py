@@ -2,10 +2,11 @@
 
 Four pieces of evidence on a text's language are added as log probabilities:
 - the text: naive Bayes over hashed UTF-8 byte trigrams, fitted on a bounded sample of labelled rows. Trigrams of running text are far from
-  independent, so the sum is tempered: it counts as `effective` independent trigrams at most;
+  independent, so the sum is tempered: it counts as `effective` independent trigrams at most. Beside the fitted languages there is "other", under
+  which each trigram has one probability: `margin` nats less than the mean trigram of the least typical text held out of the fit;
 - the language its markup declares, and the suffix of its address, each right with a fixed probability;
 - the prior of its host, smoothed hierarchically: host towards domain, domain towards the corpus. The counts behind it are sums, by
-  grouped aggregation over all rows, of the posteriors that the other evidence gives.
+  grouped aggregation over all rows, of the posteriors that the other evidence gives; a row's own one is taken out of the prior that it gets.
 
 Text scores are computed once, by Arrow batches in NumPy over whole texts, and written; only their few numbers are shuffled. Host and domain
 priors are joined with an exchange on both sides, so that a host with a third of all rows is split.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import materialize, ship
 
 LANGUAGES = ("de", "en", "es", "fr")
+CLASSES = (*LANGUAGES, "other")
 SAMPLE = 400  # labelled texts of each language at most
 BUCKETS = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,21 +47,46 @@ def trigram_buckets(text: str | None) -> np.ndarray:
     return (raw[:-2] * np.uint32(0x9E3B) + raw[1:-1] * np.uint32(0x85EB) * np.uint32(31) + raw[2:] * np.uint32(0xC2B3)) % np.uint32(65521)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> np.ndarray:
-    """Log probabilities of the buckets (BUCKETS x languages) from `sample` rows a language, those of the smallest id hashes."""
+@dataclass
+class Model:
+    """Log probabilities of the buckets (BUCKETS x languages), that of any trigram in another language, and the last hash of each language's sample."""
+
+    table: np.ndarray
+    floor: float
+    edges: dict[str, int]
+
+    def any(self) -> bool:
+        return bool(self.edges)
+
+    def scores(self, buckets: np.ndarray) -> np.ndarray:
+        """Log likelihoods in the order of CLASSES."""
+        total = np.zeros(len(LANGUAGES))
+        for at in range(0, len(buckets), 1 << 18):
+            total += self.table[buckets[at : at + (1 << 18)]].sum(0, dtype=np.float64)
+        return np.append(total, self.floor * len(buckets))
+
+
+def _sampled(id_col: str, text_col: str, lang_col: str, edges: dict[str, int]) -> Column:
+    """Whether a row is in the sample that a model was fitted on."""
+    keep = F.lit(False)
+    for lang, most in edges.items():
+        keep = keep | ((F.col(lang_col) == lang) & (F.xxhash64(id_col, text_col) <= most))
+    return F.coalesce(keep, F.lit(False))
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, margin: float = 2.0) -> Model:
+    """A model of `sample` rows a language at most, those of the smallest hashes of id and text (of equal rows one): four of five are counted, the
+    others are held out and say how improbable a text of a known language can be."""
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isin(*LANGUAGES) & F.col(text_col).isNotNull())
-    # ids first: a top-k for each language, of narrow rows
-    h = F.xxhash64(F.col(id_col))
-    keyed = rows.select(F.col(lang_col).alias("lang"), h.alias("h"))
-    edges = {lang: [r[0] for r in keyed.filter(F.col("lang") == lang).select("h").orderBy("h").limit(sample).collect()] for lang in LANGUAGES}
-    last = {lang: h[-1] for lang, h in edges.items() if h}
-    if not last:
-        return np.zeros((BUCKETS, len(LANGUAGES)), np.float32)
-    keep = F.lit(False)
-    for lang, most in last.items():
-        keep = keep | ((F.col(lang_col) == lang) & (h <= most))
-    chosen = rows.filter(keep).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # hashes first: a top-k for each language, of narrow rows
+    keyed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    found = {lang: [r[0] for r in keyed.filter(F.col("lang") == lang).select("h").orderBy("h").limit(sample).collect()] for lang in LANGUAGES}
+    edges = {lang: h[-1] for lang, h in found.items() if h}
+    if not edges:
+        return Model(np.zeros((BUCKETS, len(LANGUAGES)), np.float32), 0.0, {})
+    chosen = rows.filter(_sampled(id_col, text_col, lang_col, edges)).groupBy(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    chosen = materialize(chosen.agg(F.first(text_col).alias("text")).withColumn("held", F.pmod("h", F.lit(5)) == 0), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
@@ -69,26 +97,30 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         yield pd.DataFrame({"lang": which, "bucket": bucket, "n": sums[which, bucket]})
 
     counts = np.zeros((BUCKETS, len(LANGUAGES)))
-    for r in chosen.mapInPandas(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in chosen.filter("not held").mapInPandas(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"], r["lang"]] = r["n"]
-    seen = counts.sum(1, keepdims=True) > 0
-    smooth = (counts + 0.5) / (counts + 0.5).sum(0, keepdims=True)
-    # a bucket that no language has shown says nothing
-    return np.where(seen, np.log(smooth), 0).astype(np.float32)
+    model = Model(np.log((counts + 0.5) / (counts + 0.5).sum(0, keepdims=True)).astype(np.float32), 0.0, edges)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def typical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [g for g in map(trigram_buckets, batch["text"]) if len(g) >= 30]
+            yield pd.DataFrame({"mean": [float(shared.value.scores(g)[:-1].max() / len(g)) for g in grams]})
+
+    least = chosen.filter("held").mapInPandas(typical, "mean double").agg(F.min("mean")).first()[0]
+    # without any text held out, as improbable as in an even spread over the buckets
+    model.floor = (least if least is not None else -float(np.log(BUCKETS)) + margin) - margin
+    return model
 
 
 def _scored(shared, columns: list[str], effective: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
             n, scores = [], []
             for text in batch.column(batch.schema.get_field_index("__lx_text")):
                 buckets = trigram_buckets(text.as_py())
-                total = np.zeros(len(LANGUAGES))
-                for at in range(0, len(buckets), 1 << 18):
-                    total += table[buckets[at : at + (1 << 18)]].sum(0, dtype=np.float64)
                 n.append(len(buckets))
-                scores.append((total * min(1.0, effective / max(len(buckets), 1))).tolist())
+                scores.append((shared.value.scores(buckets) * min(1.0, effective / max(len(buckets), 1))).tolist())
             kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             found = [pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*kept, *found], [*columns, "n_grams", "text_ll"])
@@ -97,10 +129,10 @@ def _scored(shared, columns: list[str], effective: int):
 
 
 def _declared(code: Column, right: float) -> Column:
-    """Log likelihoods of a declared language."""
+    """Log likelihoods of a declared language; a text in another one declares each of the known ones wrongly."""
     rest = (1 - right) / (len(LANGUAGES) - 1)
     known = F.coalesce(code.isin(*LANGUAGES), F.lit(False))
-    return F.array(*[F.when(known, F.when(code == lang, float(np.log(right))).otherwise(float(np.log(rest)))).otherwise(0.0) for lang in LANGUAGES])
+    return F.array(*[F.when(known, F.when(code == lang, float(np.log(right))).otherwise(float(np.log(rest)))).otherwise(0.0) for lang in CLASSES])
 
 
 def _add(*parts: Column) -> Column:
@@ -116,9 +148,9 @@ def _softmax(ll: Column) -> Column:
     return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(rows: DataFrame, model: np.ndarray, effective: int = 60, markup_right: float = 0.9, suffix_right: float = 0.8, strength: float = 20.0) -> DataFrame:
+def identify(rows: DataFrame, model: Model, effective: int = 60, markup_right: float = 0.9, suffix_right: float = 0.8, strength: float = 20.0) -> DataFrame:
     """`rows` must have key columns and: __lx_text, markup, suffix, host, domain (strings, null for none). Returns its columns, without the
-    text, with n_grams, text_lang, language, probability and posterior (array in the order of LANGUAGES).
+    text, with n_grams, text_lang, language, probability and posterior (array in the order of CLASSES).
 
     `strength` is how many rows a host (or domain) must have to outweigh the level above it.
     """
@@ -130,25 +162,28 @@ def identify(rows: DataFrame, model: np.ndarray, effective: int = 60, markup_rig
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     scored = rows.mapInArrow(_scored(shared, columns, effective), f"{schema}, n_grams long, text_ll array<double>")
     own = _add(F.col("text_ll"), _declared(F.col("markup"), markup_right), _declared(F.col("suffix"), suffix_right))
-    scored = materialize(scored.withColumn("own_ll", own), "scored")
-
-    k = len(LANGUAGES)
-    base = scored.filter("n_grams > 0").select("host", "domain", _softmax(F.col("own_ll")).alias("p"))
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)]
-    by_host = base.groupBy("domain", "host").agg(*sums)
-    by_domain = by_host.groupBy("domain").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(k)])
-    whole = by_domain.agg(*[F.sum(f"d{i}") for i in range(k)]).collect()[0]
-    corpus = np.array([x or 0.0 for x in whole]) + 1.0
-    corpus = (corpus / corpus.sum()).tolist()
-    total = lambda c: sum((F.col(f"{c}{i}") for i in range(1, k)), F.col(f"{c}0"))
-    domains = by_domain.select(F.col("domain").alias("__d"), *[((F.col(f"d{i}") + strength * corpus[i]) / (total("d") + strength)).alias(f"q{i}") for i in range(k)])
-    hosts = by_host.join(domains, F.col("domain").eqNullSafe(F.col("__d")))
-    prior = F.array(*[F.log((F.col(f"s{i}") + strength * F.col(f"q{i}")) / (total("s") + strength)) for i in range(k)])
-    hosts = materialize(hosts.select(F.col("domain").alias("__d"), F.col("host").alias("__h"), prior.alias("prior_ll")), "priors")
-    joined = scored.join(hosts, F.col("host").eqNullSafe(F.col("__h")) & F.col("domain").eqNullSafe(F.col("__d")), "left")
-    unknown = F.array(*[F.lit(float(np.log(c))) for c in corpus])
-    joined = joined.withColumn("posterior", _softmax(_add(F.col("own_ll"), F.coalesce("prior_ll", unknown))))
-    names = F.array(*[F.lit(x) for x in LANGUAGES])
+    # the row's own part of the counts that host priors are made of
+    p = F.when(F.col("n_grams") > 0, _softmax(F.col("__lx_own"))).otherwise(F.array(*[F.lit(0.0)] * len(CLASSES)))
+    scored = materialize(scored.withColumn("__lx_own", own).withColumn("__lx_p", p), "scored")
+
+    k = len(CLASSES)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    summed = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(k)])
+    by_host = scored.groupBy("domain", "host").agg(summed("__lx_p").alias("__lx_s"))
+    by_host = materialize(by_host, "hosts")
+    by_domain = by_host.groupBy(F.col("domain").alias("__d")).agg(summed("__lx_s").alias("__lx_d"))
+    by_domain = materialize(by_domain, "domains")
+    corpus = F.array(*[F.lit(float(x or 0.0)) for x in by_domain.agg(*[F.sum(F.col("__lx_d")[i]) for i in range(k)]).collect()[0]])
+    hosts = by_host.withColumnsRenamed({"domain": "__hd", "host": "__h"}).join(by_domain, F.col("__hd").eqNullSafe(F.col("__d"))).drop("__d")
+    joined = scored.join(materialize(hosts, "priors"), F.col("host").eqNullSafe(F.col("__h")) & F.col("domain").eqNullSafe(F.col("__hd")), "left")
+    less = lambda c: F.zip_with(c, F.col("__lx_p"), lambda a, own: F.greatest(a - own, F.lit(0.0)))
+    joined = joined.withColumns({"__lx_s": less(F.col("__lx_s")), "__lx_d": less(F.col("__lx_d")), "__lx_c": less(corpus)})
+    level = lambda counts, weight, above: F.zip_with(counts, above, lambda n, q: (n + weight * q) / (total(counts) + weight))
+    # the corpus by adding one to each class
+    joined = joined.withColumn("__lx_c", level(F.col("__lx_c"), float(k), F.array(*[F.lit(1.0 / k)] * k)))
+    joined = joined.withColumn("__lx_d", level(F.col("__lx_d"), strength, F.col("__lx_c"))).withColumn("__lx_s", level(F.col("__lx_s"), strength, F.col("__lx_d")))
+    joined = joined.withColumn("posterior", _softmax(_add(F.col("__lx_own"), F.transform("__lx_s", lambda x: F.log(x)))))
+    names = F.array(*[F.lit(x) for x in CLASSES])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     # a host's prior alone is no evidence on a row that shows nothing itself
     none = (F.col("n_grams") == 0) & ~F.coalesce(F.col("markup").isin(*LANGUAGES) | F.col("suffix").isin(*LANGUAGES), F.lit(False))
@@ -185,21 +220,21 @@ def digest(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with probability `least`, with `lang` set to it; the others (no letters at all, or
-    torn between languages) go. The document's `lang` counts as its declared language, its `source` as its host. Without labelled rows there is no
-    model: then all documents with letters stay as they are.
+    """The documents in one of LANGUAGES with probability `least`, with `lang` set to it; the others (no letters at all, another language, or
+    torn between languages) go. The document's `lang` counts as its declared language, but not of the rows that the model was fitted on; its `source`
+    counts as its host. Without labelled rows there is no model: then all documents with letters stay as they are.
     """
     model = fit(docs)
     if not model.any():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64("text")
     rows = docs.select(
-        F.col("doc_id"), h.alias("__lx_th"), F.col("text").alias("__lx_text"), F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).alias("markup"),
+        F.col("doc_id"), h.alias("__lx_th"), F.col("text").alias("__lx_text"), F.when(F.col("lang").isin(*LANGUAGES) & ~_sampled("doc_id", "text", "lang", model.edges), F.col("lang")).alias("markup"),
         F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"),
     )
     found = identify(rows, model)
     # letters are needed: a declared language says nothing about a text without any
-    ok = found.filter((F.col("n_grams") > 0) & (F.col("language") != "und") & (F.col("probability") >= least))
+    ok = found.filter((F.col("n_grams") > 0) & F.col("language").isin(*LANGUAGES) & (F.col("probability") >= least))
     ok = ok.groupBy(F.col("doc_id").alias("__lx_id"), F.col("__lx_th").alias("__lx_h")).agg(F.min("language").alias("__lx_lang"))
     ok = materialize(ok, "identified")
     joined = docs.join(ok, docs["doc_id"].eqNullSafe(F.col("__lx_id")) & (h == F.col("__lx_h")))

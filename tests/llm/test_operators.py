@@ -536,3 +536,49 @@ def test_decontam_ways_agree(spark, documents):
 def test_sharding_null_cell(spark):
     df = spark.createDataFrame([(None,), ("",), ("a",)] + [(str(i),) for i in range(200)], "s string").select("s", sharding.categorical(F.col("s")).alias("c")).collect()
     assert [r.s for r in df if r.c == 0] == [None] and max(r.c for r in df) < 1 << sharding.BITS
+
+
+def test_langid_posterior(spark):
+    """The fused posterior against a slow version: every row's prior without the row itself."""
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    rows = [(0, "der und die nicht", "de", None, "a.x", "x"), (1, "the and of", None, "en", "a.x", "x"), (2, "la de los", "fr", None, "b.x", "x"), (3, None, "fr", None, "b.x", "x"), (4, "les des", None, None, None, None),
+            (5, "私たちは毎朝海の近くを散歩します", None, None, "c.y", "y"), (6, "", None, None, "d.z", "z"), (7, "the and of", None, "en", "a.x", "x")]
+    df = spark.createDataFrame(rows, "k long, __lx_text string, markup string, suffix string, host string, domain string")
+    got = {r.k: r for r in langid.identify(df, model).collect()}
+    names, k = langid.CLASSES, len(langid.CLASSES)
+
+    def declared(code, right):
+        return np.array([0.0 if code not in langid.LANGUAGES else np.log(right if code == x else (1 - right) / 3) for x in names])
+
+    def softmax(v):
+        e = np.exp(v - v.max())
+        return e / e.sum()
+
+    own, p = {}, {}
+    for i, text, markup, suffix, _, _ in rows:
+        grams = langid.trigram_buckets(text)
+        own[i] = model.scores(grams) * min(1, 60 / max(len(grams), 1)) + declared(markup, 0.9) + declared(suffix, 0.8)
+        p[i] = softmax(own[i]) if len(grams) else np.zeros(k)
+    for i, _, _, _, host, domain in rows:
+        others = lambda same: sum((p[r[0]] for r in rows if r[0] != i and same(r)), np.zeros(k))  # noqa: E731, B023
+        prior = (others(lambda r: True) + 1) / (others(lambda r: True).sum() + k)
+        for same in (lambda r: r[5] == domain, lambda r: r[5] == domain and r[4] == host):  # noqa: B023
+            prior = (others(same) + 20 * prior) / (others(same).sum() + 20)
+        assert got[i].posterior == pytest.approx(softmax(own[i] + np.log(prior)).tolist(), abs=1e-9)
+    assert got[5].language == "other" and got[6].language == "und" and got[0].language == "de"
+
+
+def test_langid_keeps_known_languages(spark, documents):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = documents([(9001, "私たちは毎朝海の近くを散歩してから朝ご飯を食べます"), (9002, "Наш дом стоит недалеко от моря"), (9003, "12 34"), (9004, None)], lang=None).drop("size")
+    kept = langid.keep_identified(docs.unionByName(odd)).select("doc_id", "lang").collect()
+    assert not {r.doc_id for r in kept} & {9001, 9002, 9003, 9004}
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}{3}")).count()
+    assert len(kept) >= 0.99 * lettered
+
+
+def test_langid_sample_is_bounded(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    again = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    one, two = langid.fit(again, sample=5), langid.fit(again.unionByName(again), sample=5)
+    assert len(one.edges) == 4 and one.table.shape == two.table.shape
