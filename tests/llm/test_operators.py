@@ -427,6 +427,53 @@ def test_secret_index(spark, documents):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def slow_copies(rows):
+    """[(row, copies)] of rows (id, text, source): targets by filling up, then two rounds by the hash of id, text and number among equal rows."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    total = {x: sum(size(r[1]) for r in rows if r[2] == x) for x in sources}
+    weight = {x: (3, 1, 2)[i % 3] for i, x in enumerate(sources)}
+    target, left, free = {}, 1.5 * sum(total.values()), list(sources)
+    while free:
+        over = [x for x in free if left * weight[x] / sum(weight[y] for y in free) > 2 * total[x]]
+        if not over:
+            target |= {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+            break
+        for x in over:
+            target[x] = 2.0 * total[x]
+        left -= sum(target[x] for x in over)
+        free = [x for x in free if x not in over]
+    seen: dict = {}
+    keyed = []
+    for r in rows:
+        key = (r[0], r[1] or "", r[2])
+        n = seen[key] = seen.get(key, -1) + 1
+        name = "|".join(["" if r[0] is None else str(r[0]), hashlib.md5((r[1] or "").encode()).hexdigest(), str(n)])
+        keyed.append((int(hashlib.md5(name.encode()).hexdigest()[:8], 16), r))
+    out = []
+    for x in sources:
+        mine = sorted((k for k in keyed if k[1][2] == x), key=lambda k: k[0])
+        whole = int(target[x] // total[x] + 1e-12) if total[x] else 0
+        budget = target[x] - whole * total[x]
+        taken, rest, extra = 0, [], set()
+        for i, (_, r) in enumerate(mine):
+            if rest or taken + size(r[1]) > budget:
+                rest.append(i)
+            else:
+                taken += size(r[1])
+                extra.add(i)
+        gap, more = budget - taken, 0
+        for i in rest:
+            n = size(mine[i][1][1])
+            if n <= gap:
+                if more + n > gap:
+                    break
+                more += n
+                extra.add(i)
+        out += [(r, min(2, whole + (i in extra))) for i, (_, r) in enumerate(mine)]
+    return out
+
+
 def test_mixing_ties(spark, documents):
     """Null and repeated ids, and rows that are equal in all, fill their source's target like others; against brute force."""
     a = [(i, "w " * 50) for i in range(20)]
@@ -441,30 +488,9 @@ def test_mixing_ties(spark, documents):
     for source, mine in made.items():
         target, size = mine[0].target, sum(x.size for x in mine)
         assert size == mine[0].source_size and abs(sum(x.taken for x in mine) - target) <= 51, source
-    # brute force: all rows by the hash of id, text and number among equal rows
-    seen: dict = {}
-    keyed = []
-    for r in docs.collect():
-        key = (r.doc_id, r.text or "", r.source)
-        n = seen[key] = seen.get(key, -1) + 1
-        h = int(hashlib.md5("|".join(["" if r.doc_id is None else str(r.doc_id), hashlib.md5((r.text or "").encode()).hexdigest(), str(n)]).encode()).hexdigest()[:8], 16)
-        keyed.append((r.source, h, len((r.text or "").split())))
+    slow = slow_copies([(r.doc_id, r.text, r.source) for r in docs.collect()])
     for source, mine in made.items():
-        target, size = mine[0].target, mine[0].source_size
-        whole = int(target // size) if size else 0
-        left, taken, rest = target - whole * size, 0, []
-        for _, h, n in sorted(k for k in keyed if k[0] == source):
-            if rest or taken + n > left:
-                rest.append((h, n))
-            else:
-                taken += n
-        gap, more = left - taken, 0
-        for _, n in rest:
-            if n <= gap:
-                if more + n > gap:
-                    break
-                more += n
-        assert sum(x.taken for x in mine) == whole * size + taken + more
+        assert sorted(x.copies for x in mine) == sorted(c for (_, _, src), c in slow if src == source)
     key = lambda df: sorted((str(x.doc_id), x.text or "", x.source) for x in df.collect())
     took = mixing.take(docs)
     assert took.columns == docs.columns and key(took) == key(mixing.take(docs.repartition(6)))
@@ -538,13 +564,8 @@ def test_sharding_null_cell(spark):
     assert [r.s for r in df if r.c == 0] == [None] and max(r.c for r in df) < 1 << sharding.BITS
 
 
-def test_langid_posterior(spark):
-    """The fused posterior against a slow version: every row's prior without the row itself."""
-    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
-    rows = [(0, "der und die nicht", "de", None, "a.x", "x"), (1, "the and of", None, "en", "a.x", "x"), (2, "la de los", "fr", None, "b.x", "x"), (3, None, "fr", None, "b.x", "x"), (4, "les des", None, None, None, None),
-            (5, "私たちは毎朝海の近くを散歩します", None, None, "c.y", "y"), (6, "", None, None, "d.z", "z"), (7, "the and of", None, "en", "a.x", "x")]
-    df = spark.createDataFrame(rows, "k long, __lx_text string, markup string, suffix string, host string, domain string")
-    got = {r.k: r for r in langid.identify(df, model).collect()}
+def slow_posteriors(rows, model):
+    """key -> posterior of rows (key, text, markup, suffix, host, domain)."""
     names, k = langid.CLASSES, len(langid.CLASSES)
 
     def declared(code, right):
@@ -554,17 +575,30 @@ def test_langid_posterior(spark):
         e = np.exp(v - v.max())
         return e / e.sum()
 
-    own, p = {}, {}
-    for i, text, markup, suffix, _, _ in rows:
+    own, p = [], []
+    for _, text, markup, suffix, _, _ in rows:
         grams = langid.trigram_buckets(text)
-        own[i] = model.scores(grams) * min(1, 60 / max(len(grams), 1)) + declared(markup, 0.9) + declared(suffix, 0.8)
-        p[i] = softmax(own[i]) if len(grams) else np.zeros(k)
-    for i, _, _, _, host, domain in rows:
-        others = lambda same: sum((p[r[0]] for r in rows if r[0] != i and same(r)), np.zeros(k))  # noqa: E731, B023
+        own.append(model.scores(grams) * min(1, 60 / max(len(grams), 1)) + declared(markup, 0.9) + declared(suffix, 0.8))
+        p.append(softmax(own[-1]) if len(grams) else np.zeros(k))
+    out = {}
+    for i, row in enumerate(rows):
+        others = lambda same: sum((p[j] for j, r in enumerate(rows) if j != i and same(r)), np.zeros(k))  # noqa: E731, B023
         prior = (others(lambda r: True) + 1) / (others(lambda r: True).sum() + k)
-        for same in (lambda r: r[5] == domain, lambda r: r[5] == domain and r[4] == host):  # noqa: B023
+        for same in (lambda r: r[5] == row[5], lambda r: r[4:] == row[4:]):  # noqa: B023
             prior = (others(same) + 20 * prior) / (others(same).sum() + 20)
-        assert got[i].posterior == pytest.approx(softmax(own[i] + np.log(prior)).tolist(), abs=1e-9)
+        out[row[0]] = softmax(own[i] + np.log(prior))
+    return out
+
+
+def test_langid_posterior(spark):
+    """The fused posterior against a slow version: every row's prior without the row itself."""
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    rows = [(0, "der und die nicht", "de", None, "a.x", "x"), (1, "the and of", None, "en", "a.x", "x"), (2, "la de los", "fr", None, "b.x", "x"), (3, None, "fr", None, "b.x", "x"), (4, "les des", None, None, None, None),
+            (5, "私たちは毎朝海の近くを散歩します", None, None, "c.y", "y"), (6, "", None, None, "d.z", "z"), (7, "the and of", None, "en", "a.x", "x")]
+    df = spark.createDataFrame(rows, "k long, __lx_text string, markup string, suffix string, host string, domain string")
+    got = {r.k: r for r in langid.identify(df, model).collect()}
+    for i, posterior in slow_posteriors(rows, model).items():
+        assert got[i].posterior == pytest.approx(posterior.tolist(), abs=1e-9)
     assert got[5].language == "other" and got[6].language == "und" and got[0].language == "de"
 
 
