@@ -1,8 +1,8 @@
 """Secret scans over a trigram inverted index.
 
 Each rule is a regex. Its Boolean trigram query says which trigrams a text must hold for the rule to match
-(`lexispark.llm.trigrams`), as a union of intersections. The index is over the distinct texts: they are numbered, one pass finds
-the trigrams of each that some query names, and each trigram's posting is a bitmap over a block of 32768 numbers. Per block the
+(`lexispark.llm.trigrams`), as a union of intersections. The index is over the distinct texts: they are numbered, the trigrams
+of each that some query names are found, and each trigram's posting is a bitmap over a block of 32768 numbers. Per block the
 bitmaps are intersected and united as each rule asks, and the bits that are left name the rule's candidates. Only they are
 searched by the rule's regex, which verifies them. Rules without mandatory trigrams scan every text.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import find_spans, materialize, span_string
-from lexispark.llm.trigrams import conjunctions, finder, query, slim, vocabulary
+from lexispark.llm.trigrams import conjunctions, query, slim, vocabulary
 
 
 @dataclass(frozen=True)
@@ -81,12 +81,19 @@ def unions(rules: tuple[Rule, ...]) -> list[list[frozenset[str]] | None]:
 
 def index(docs: DataFrame, text_col: str, grams: list[str]) -> tuple[DataFrame, DataFrame]:
     """entries (key, row) of the distinct texts with a trigram of the vocabulary, and the postings (block, gram, bitmap) over them."""
-    text = F.col(text_col)
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(finder(grams)), F.lit(1)))
-    rows = docs.select(_key(text).alias("key"), found.alias("grams")).filter(F.size("grams") > 0)
-    rows = rows.groupBy("key").agg(F.first("grams").alias("grams")).withColumn("row", F.monotonically_increasing_id())
-    entries = materialize(rows, "entries")
-    bits = entries.select(F.bitmap_bucket_number("row").alias("block"), F.bitmap_bit_position("row").alias("bit"), F.explode("grams").alias("gram"))
+    # a column of its own, or each trigram would lower the text again; a search for each trigram is far quicker than a regex of them all
+    rows = docs.select(_key(F.col(text_col)).alias("key"), F.lower(text_col).alias("low"))
+    words = [grams[at : at + 62] for at in range(0, len(grams), 62)]
+    held = lambda word: functools.reduce(
+        lambda a, b: a.bitwiseOR(b), [F.when(F.contains("low", F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(word)]
+    )
+    rows = rows.select("key", *[held(word).alias(f"word{i}") for i, word in enumerate(words)])
+    # the filter comes after the grouping: before it, it would make the searches run twice
+    rows = rows.groupBy("key").agg(*[F.first(f"word{i}").alias(f"word{i}") for i in range(len(words))])
+    rows = rows.filter(functools.reduce(lambda a, b: a | b, [F.col(f"word{i}") != 0 for i in range(len(words))]))
+    entries = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "entries")
+    found = [F.when(F.col(f"word{j}").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(g)) for j, word in enumerate(words) for i, g in enumerate(word)]
+    bits = entries.select(F.bitmap_bucket_number("row").alias("block"), F.bitmap_bit_position("row").alias("bit"), F.explode(F.array_compact(F.array(*found))).alias("gram"))
     return entries.select("key", "row"), bits.groupBy("block", "gram").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 

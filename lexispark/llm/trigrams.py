@@ -153,10 +153,3 @@ def slim(union: list[frozenset[str]] | None, postings: int = 4) -> list[frozense
 def vocabulary(*unions: list[frozenset[str]] | None) -> list[str]:
     """All trigrams that some intersection names, sorted."""
     return sorted({g for union in unions for c in union or () for g in c})
-
-
-def finder(grams: list[str]) -> str:
-    """A regex that finds each place of a trigram, overlapping ones too (its group 1), with alternatives by their first character."""
-    quoted = lambda text: "".join(c if c.isalnum() or c in " _" else "\\" + c for c in text)
-    rest = lambda f: "|".join(quoted(g[1:]) for g in grams if g[0] == f)
-    return f"(?=({'|'.join(f'{quoted(f)}(?:{rest(f)})' for f in sorted({g[0] for g in grams}))}))"
