@@ -262,17 +262,25 @@ def _parts(spark) -> DataFrame:
 
 def _block_search(k: int):
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
             x, ids, numbers = _matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
-            for q, row, query_id in zip(_matrix(queries["v"]), queries["query_row"], queries["query_id"], strict=True):
+            # rows by the order that decides ties: a stable sort by distance keeps it
+            tied = np.lexsort((numbers, ids))
+            x, ids, numbers = x[tied], ids[tied], numbers[tied]
+            asked = _matrix(queries["v"])
+            of, by = queries["query_row"].to_numpy(), queries["query_id"].to_numpy()
+            step = max(1, (1 << 21) // x.size)
+            for at in range(0, len(asked), step):
                 with np.errstate(over="ignore"):
-                    score = np.sqrt(((x - q) ** 2).sum(1))
-                top = np.lexsort((numbers, ids, score))[: k + 1]
-                top = top[numbers[top] != row][:k]
-                out.append(pd.DataFrame({"query_row": row, "query_id": query_id, "row": numbers[top], "vec_id": ids[top], "score": score[top]}))
-        none = np.array([], np.int64)
-        return pd.concat(out) if out else pd.DataFrame({"query_row": none, "query_id": none, "row": none, "vec_id": none, "score": np.array([], float)})
+                    scores = np.sqrt(((x[None, :, :] - asked[at : at + step, None, :]) ** 2).sum(2))
+                for i, score in enumerate(scores, at):
+                    near = np.nonzero(score <= np.partition(score, k)[k])[0] if len(score) > k + 1 else np.arange(len(score))
+                    top = near[np.argsort(score[near], kind="stable")][: k + 1]
+                    top = top[numbers[top] != of[i]][:k]
+                    for name, values in zip(found, (np.full(len(top), of[i]), np.full(len(top), by[i]), numbers[top], ids[top], score[top]), strict=True):
+                        found[name].append(values)
+        return pd.DataFrame({name: np.concatenate(v) if v else np.array([], float if name == "score" else np.int64) for name, v in found.items()})
 
     return run
 
