@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import materialize, ship
+from lexispark.llm.common import let, materialize, ship
 
 LANGUAGES = ("de", "en", "es", "fr")
 CLASSES = (*LANGUAGES, "other")
@@ -142,10 +142,19 @@ def _add(*parts: Column) -> Column:
     return total
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def _softmax(ll: Column) -> Column:
-    top = F.array_max(ll)
-    weights = F.transform(ll, lambda x: F.exp(x - top))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    """Each value is bound once: a lambda would work out what it names again for each element."""
+    shared = lambda w: let(_total(w), lambda t: F.transform(w, lambda x: x / t))
+    return let(ll, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), shared)))
+
+
+def _smoothed(counts: Column, weight: float, above: Column) -> Column:
+    """Shares of counts, with `weight` rows more that are as the level above says."""
+    return let(counts, lambda c: let(_total(c) + weight, lambda n: F.zip_with(c, above, lambda x, q: (x + weight * q) / n)))
 
 
 def identify(rows: DataFrame, model: Model, effective: int = 60, markup_right: float = 0.9, suffix_right: float = 0.8, strength: float = 20.0) -> DataFrame:
@@ -167,7 +176,6 @@ def identify(rows: DataFrame, model: Model, effective: int = 60, markup_right: f
     scored = materialize(scored.withColumn("__lx_own", own).withColumn("__lx_p", p), "scored")
 
     k = len(CLASSES)
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     summed = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(k)])
     by_host = scored.groupBy("domain", "host").agg(summed("__lx_p").alias("__lx_s"))
     by_host = materialize(by_host, "hosts")
@@ -177,12 +185,10 @@ def identify(rows: DataFrame, model: Model, effective: int = 60, markup_right: f
     hosts = by_host.withColumnsRenamed({"domain": "__hd", "host": "__h"}).join(by_domain, F.col("__hd").eqNullSafe(F.col("__d"))).drop("__d")
     joined = scored.join(materialize(hosts, "priors"), F.col("host").eqNullSafe(F.col("__h")) & F.col("domain").eqNullSafe(F.col("__hd")), "left")
     less = lambda c: F.zip_with(c, F.col("__lx_p"), lambda a, own: F.greatest(a - own, F.lit(0.0)))
-    joined = joined.withColumns({"__lx_s": less(F.col("__lx_s")), "__lx_d": less(F.col("__lx_d")), "__lx_c": less(corpus)})
-    level = lambda counts, weight, above: F.zip_with(counts, above, lambda n, q: (n + weight * q) / (total(counts) + weight))
     # the corpus by adding one to each class
-    joined = joined.withColumn("__lx_c", level(F.col("__lx_c"), float(k), F.array(*[F.lit(1.0 / k)] * k)))
-    joined = joined.withColumn("__lx_d", level(F.col("__lx_d"), strength, F.col("__lx_c"))).withColumn("__lx_s", level(F.col("__lx_s"), strength, F.col("__lx_d")))
-    joined = joined.withColumn("posterior", _softmax(_add(F.col("__lx_own"), F.transform("__lx_s", lambda x: F.log(x)))))
+    whole = _smoothed(less(corpus), float(k), F.array(*[F.lit(1.0 / k)] * k))
+    prior = let(whole, lambda c: let(_smoothed(less(F.col("__lx_d")), strength, c), lambda d: _smoothed(less(F.col("__lx_s")), strength, d)))
+    joined = joined.withColumn("posterior", _softmax(_add(F.col("__lx_own"), F.transform(prior, lambda x: F.log(x)))))
     names = F.array(*[F.lit(x) for x in CLASSES])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     # a host's prior alone is no evidence on a row that shows nothing itself

@@ -33,7 +33,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 _ODD = 0x9E3779B97F4A7C15
 _MASK_BITS = 12
 #: Variants (of 8 bytes) that a group, and that an emitting task and pass, has about.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 
 def masks() -> np.ndarray:
