@@ -32,18 +32,32 @@ def latin(text: Column, lang: str = "fr", lower: bool = True, keep_punctuation:
     return T.collapse_whitespace(T.remove_special(out))
 
 
+#: Signs and abbreviations in Arabic words.
+ARABIC_SIGNS = {
+    "ق.م": "قبل الميلاد", "هـ": "هجري", "%": "في المئة", "٪": "في المئة", "€": "يورو", "$": "دولار", "£": "جنيه", "¥": "ين", "₹": "روبية هندية", "&": "و", "+": "زائد",
+    "=": "يساوي", "°": "درجة",
+}
+
+
 def arabic(text: Column, keep_punctuation: bool = False, keep_latin: bool = False) -> Column:
-    """No links, diacritics or stretched letters; one form of alef, yeh and teh; western digits, then numbers in words."""
+    """No links, diacritics or letters stretched beyond two; western digits, signs, dates and numbers in words.
+
+    Letters beyond Arabic ones go unless `keep_latin`; punctuation goes unless kept, but apostrophes and hyphens within words stay.
+    """
     out = F.regexp_replace(text, r"https?://\S+|www\.\S+", " ")
+    for sign, word in ARABIC_SIGNS.items():
+        out = F.replace(out, F.lit(sign), F.lit(f" {word} "))
     out = F.regexp_replace(out, r"[\u064b-\u0652\u0670\u0640]", "")
     out = F.translate(out, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
-    out = F.translate(out, "أإآٱىگڤپ", "اااايكفب")
-    out = F.translate(out, "؟،؛٪", "?,;%")
-    out = T.symbols_to_words(out, "ar")
     out = to_words(out, "ar")
-    out = F.regexp_replace(out, r"(\p{L})\1{2,}", "$1$1")
-    keep = r"\p{IsArabic}\s" + (r"A-Za-z" if keep_latin else "") + (r".,;:!?" if keep_punctuation else "")
-    return T.collapse_whitespace(F.regexp_replace(out, f"[^{keep}]", " "))
+    out = F.regexp_replace(out, r"([\x{0621}-\x{064A}])\1{2,}", "$1$1")
+    letters = r"\p{L}\p{M}" if keep_latin else r"\p{IsArabic}&&[\p{L}\p{M}]"
+    if keep_punctuation:
+        marks = r"\p{P}\p{S}" if keep_latin else r"!-/:-@\[-`{-~،؛؟«»"
+        out = F.regexp_replace(out, rf"[^\s{marks}[{letters}]]", "")
+        return T.collapse_whitespace(out)
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])['’-]+|['’-]+(?![\p{L}\p{N}])", " ")
+    return T.collapse_whitespace(F.regexp_replace(out, rf"[^\s'’\-[{letters}]]", " "))
 
 
 def russian(text: Column, keep_punctuation: bool = False, split_hyphens: bool = True) -> Column:

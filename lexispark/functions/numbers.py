@@ -104,7 +104,20 @@ def russian(n: int) -> str:
     return " ".join(parts)
 
 
+# Arabic names of powers of a thousand (one, two, three to ten) and of months.
+AR_SCALES = [
+    ("ألف", "ألفان", "آلاف"), ("مليون", "مليونان", "ملايين"), ("مليار", "ملياران", "مليارات"), ("تريليون", "تريليونان", "تريليونات"),
+    ("كوادريليون", "كوادريليونان", "كوادريليونات"), ("كوينتليون", "كوينتليونان", "كوينتليونات"), ("سكستيليون", "سكستيليونان", "سكستيليونات"),
+    ("سبتيليون", "سبتيليونان", "سبتيليونات"),
+]
+AR_MONTHS = "يناير فبراير مارس أبريل مايو يونيو يوليو أغسطس سبتمبر أكتوبر نوفمبر ديسمبر".split()
+AR_HIJRI = ["محرم", "صفر", "ربيع الأول", "ربيع الثاني", "جمادى الأولى", "جمادى الثانية", "رجب", "شعبان", "رمضان", "شوال", "ذو القعدة", "ذو الحجة"]
+AR_MINUS, AR_POINT = "سالب", "فاصيله"
+
+
 def arabic(n: int) -> str:
+    """Names of powers agree with their count: plural from three to ten, accusative from eleven to ninety-nine."""
+
     def below(k: int) -> str:
         if k <= 10:
             return AR[k]
@@ -112,21 +125,54 @@ def arabic(n: int) -> str:
             return {11: "أحد عشر", 12: "اثنا عشر"}.get(k, f"{AR[k - 10]} عشر")
         if k < 100:
             return AR_TENS[k // 10] if k % 10 == 0 else f"{AR[k % 10]} و {AR_TENS[k // 10]}"
-        stem = {1: "مائة", 2: "مائتان"}.get(k // 100, f"{AR[k // 100][:-1]}مائة")
+        stem = {1: "مائة", 2: "مئتان", 8: "ثمانمائة"}.get(k // 100, f"{AR[k // 100][:-1]}مائة")
         return stem if k % 100 == 0 else f"{stem} و {below(k % 100)}"
 
     parts = []
-    for power, (one, two, few, many) in ((2, ("مليون", "مليونان", "ملايين", "مليون")), (1, ("ألف", "ألفان", "آلاف", "ألف"))):
+    for power in range(len(AR_SCALES), 0, -1):
+        one, two, few = AR_SCALES[power - 1]
         count, n = divmod(n, 1000**power)
-        if count:
-            parts.append(one if count == 1 else two if count == 2 else f"{below(count)} {few if count <= 10 else many}")
+        if count == 1 or count == 2:
+            parts.append(one if count == 1 else two)
+        elif count:
+            parts.append(f"{below(count)} {few if 3 <= count % 100 <= 10 else one + 'ا' if count % 100 > 10 else one}")
     if n or not parts:
         parts.append(below(n))
     return " و ".join(parts)
 
 
+def arabic_dates(text: str) -> str:
+    """Dates d/m/y and y/m/d with their month's name; years before 1600 are of the Hijri calendar and come first."""
+
+    def named(year: str, month: str, day: str, whole: str) -> str:
+        if not 1 <= int(month) <= 12 or not 1 <= int(day) <= 31:
+            return whole
+        if int(year) < 1600:
+            return f"{year} {AR_HIJRI[int(month) - 1]} {int(day)}"
+        return f"{int(day)} {AR_MONTHS[int(month) - 1]} {year}"
+
+    out = re.sub(r"(?<![\d/])(\d{4})/(\d{1,2})/(\d{1,2})(?![\d/])", lambda m: named(m[1], m[2], m[3], m[0]), text)
+    return re.sub(r"(?<![\d/])(\d{1,2})/(\d{1,2})/(\d{4})(?![\d/])", lambda m: named(m[3], m[2], m[1], m[0]), out)
+
+
+def arabic_numbers(text: str) -> str:
+    """Dates, signs, points between digits and numbers in words; leading zeros are said one by one."""
+    out = arabic_dates(text)
+    out = re.sub(r"(?<![\w.,/-])-(?=\d)", f" {AR_MINUS} ", out)
+    out = re.sub(r"(?<=\d)[.,](?=\d)", f" {AR_POINT} ", out)
+
+    def say(m: re.Match) -> str:
+        rest = m[0].lstrip("0")
+        zeros = len(m[0]) - len(rest)
+        if len(rest) > 27:
+            return " " + " ".join(arabic(int(d)) for d in m[0]) + " "
+        return " " + " ".join([AR[0]] * (zeros if rest else max(1, zeros)) + ([arabic(int(rest))] if rest else [])) + " "
+
+    return re.sub(r"\s+", " ", re.sub(r"\d+", say, out)).strip()
+
+
 CARDINALS = {"en": english, "fr": french, "ru": russian, "ar": arabic}
-POINT = {"en": "point", "fr": "virgule", "ru": "запятая", "ar": "فاصلة"}
+POINT = {"en": "point", "fr": "virgule", "ru": "запятая", "ar": AR_POINT}
 _EN_IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
 
@@ -158,7 +204,9 @@ def spoken(digits: str, lang: str) -> str:
 
 
 def numbers_to_words(text: str, lang: str) -> str:
-    """Spaced thousands, decimals, ordinals (English, French), dates d/m and plain numbers in words."""
+    """Spaced thousands, decimals, ordinals (English, French), dates (Arabic) and plain numbers in words."""
+    if lang == "ar":
+        return arabic_numbers(text)
     out = re.sub(r"(?<![\d.,])(\d{1,3})((?:[  ]\d{3})+)(?!\d)", lambda m: m[0].replace(" ", "").replace(" ", ""), text)
     if lang == "en":
         out = re.sub(r"(?<![\d.,])(\d{1,3}(?:,\d{3})+)(?![\d])", lambda m: m[0].replace(",", ""), out)
