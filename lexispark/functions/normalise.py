@@ -15,9 +15,41 @@ ABBREVIATIONS = {
 }
 
 
+#: Units behind a number, and spellings, in French.
+FRENCH_UNITS = {
+    "km²": "kilomètres carrés", "m²": "mètres carrés", "cm²": "centimètres carrés", "mm²": "millimètres carrés", "m³": "mètres cubes", "cm³": "centimètres cubes", "mm³": "millimètres cubes",
+    "km": "kilomètres", "m": "mètres", "cm": "centimètres", "mm": "millimètres", "kg": "kilogrammes", "g": "grammes", "mg": "milligrammes", "°C": "degrés celsius", "°F": "degrés fahrenheit",
+}
+FRENCH_SPELLINGS = {"clefs": "clés", "clef": "clé", "bistrots": "bistros", "bistrot": "bistro", "feignants": "fainéants", "feignant": "fainéant", "caetera": "cetera"}
+FRACTIONS = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3"}
+
+
+def _french_signs(text: Column) -> Column:
+    """Quotes, web addresses, signs, units and prices as they are said, before numbers are put into words."""
+    out = F.regexp_replace(text, "``|''", '"')
+    web = lambda w: F.replace(F.replace(F.regexp_replace(w, r"(?<=\w)\.(?=\w)", " point "), F.lit("://"), F.lit(" deux points slash slash ")), F.lit("/"), F.lit(" slash "))
+    said = lambda w: F.when(w.rlike(r"^(https?://|www\.)"), web(w)).otherwise(w)
+    out = F.when(out.rlike(r"(^|\s)(https?://|www\.)"), F.array_join(F.transform(F.split(out, r"\s+"), said), " ")).otherwise(out)
+    for sign, plain in FRACTIONS.items():
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])-(?=[0-9])", " moins ")
+    out = F.regexp_replace(out, r"(?<![0-9])([0-9]{1,2})\s?h\s?00(?![0-9])", "$1 heures ")
+    for sign, word in (("€", "euros"), (r"\$", "dollars"), ("£", "livres")):
+        out = F.regexp_replace(out, rf"([0-9]),([0-9]{{2}})\s?{sign}", f"$1 {word} $2")
+    for unit, word in FRENCH_UNITS.items():
+        out = F.regexp_replace(out, rf"(?<=[0-9])\s?{unit}(?![\p{{L}}\p{{N}}²³])", f" {word} ")
+    return F.regexp_replace(out, r"(?<=\p{L})2(?=\p{L})", " to ")
+
+
 def latin(text: Column, lang: str = "fr", lower: bool = True, keep_punctuation: bool = False) -> Column:
-    """Typographic characters, brackets, hours, abbreviations, symbols and numbers resolved; punctuation removed unless kept."""
-    out = T.remove_parenthesis(T.normalise_characters(T.remove_tags(text)))
+    """Typographic characters, hours, abbreviations, symbols and numbers resolved; punctuation removed unless kept.
+
+    In French, too, web addresses, dates, fractions, units and prices are said, what stands in brackets is kept, and an apostrophe ends its word.
+    """
+    french = lang == "fr"
+    out = T.remove_tags(text, glue_apostrophe=not french)
+    out = T.normalise_characters(out) if french else T.remove_parenthesis(T.normalise_characters(out))
+    out = _french_signs(out) if french else out
     hours = {"fr": r"$1 heures $2", "en": r"$1 $2"}.get(lang)
     if hours:
         out = F.regexp_replace(out, r"(?<![0-9])([0-9]{1,2})\s?[h:]\s?([0-9]{2})(?![0-9:])", hours)
@@ -25,10 +57,12 @@ def latin(text: Column, lang: str = "fr", lower: bool = True, keep_punctuation:
     out = T.symbols_to_words(out, lang)
     if lang in CARDINALS:
         out = to_words(out, lang)
-    out = F.regexp_replace(out, r"(?<=^|\s)-+(?=\s|$)", " ")
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])-+|-+(?![\p{L}\p{N}])", " ")
     if not keep_punctuation:
         out = T.remove_punctuation(out)
     out = F.lower(out) if lower else out
+    if french:
+        out = F.regexp_replace(T.replace_words(out, FRENCH_SPELLINGS), r"'+(?=\S)", "' ")
     return T.collapse_whitespace(T.remove_special(out))
 
 

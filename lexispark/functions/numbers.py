@@ -193,6 +193,28 @@ def french_ordinal(n: int, feminine: bool = False) -> str:
     return re.sub(r"(e|s)$", "", words) + "ième" if not words.endswith("trois") else words + "ième"
 
 
+# French months.
+FR_MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
+
+
+def french_dates(text: str) -> str:
+    """Dates d/m/y, y/m/d and d/mm with their month's name; the first of a month is "premier". What is no date stays."""
+
+    def named(day: str, month: str, year: str, whole: str) -> str:
+        if not 1 <= int(month) <= 12 or not 1 <= int(day) <= 31:
+            return whole
+        return f"{'premier' if int(day) == 1 else int(day)} {FR_MONTHS[int(month) - 1]} {year}".strip()
+
+    out = re.sub(r"(?<![\d/])(\d{4})/(\d{1,2})/(\d{1,2})(?![\d/])", lambda m: named(m[3], m[2], m[1], m[0]), text)
+    out = re.sub(r"(?<![\d/])(\d{1,2})/(\d{1,2})/(\d{4})(?![\d/])", lambda m: named(m[1], m[2], m[3], m[0]), out)
+    return re.sub(r"(?<![\d/])(\d{1,2})//?(0\d|1[0-2])(?![\d/])", lambda m: named(m[1], m[2], "", m[0]), out)
+
+
+def french_fraction(over: int, under: int) -> str:
+    name = {2: "demi", 3: "tiers", 4: "quart"}.get(under) or french_ordinal(under)
+    return f"{french(over)} {name}{'s' if over > 1 and not name.endswith('s') else ''}"
+
+
 def spoken(digits: str, lang: str) -> str:
     """A string of digits: leading zeros one by one, numbers of over twelve digits digit by digit."""
     say = CARDINALS[lang]
@@ -212,6 +234,11 @@ def numbers_to_words(text: str, lang: str) -> str:
         out = re.sub(r"(?<![\d.,])(\d{1,3}(?:,\d{3})+)(?![\d])", lambda m: m[0].replace(",", ""), out)
         out = re.sub(r"\b(\d{1,12})(?:st|nd|rd|th)\b", lambda m: english_ordinal(int(m[1])), out)
     if lang == "fr":
+        out = french_dates(out)
+        out = re.sub(r"(?<![\d/.,-])(\d{1,3})/([1-9]\d{0,3})(?![\d/.,])", lambda m: french_fraction(int(m[1]), int(m[2])) if int(m[2]) > 1 else m[0], out)
+        out = re.sub(r"(?<![\d.,])(\d{1,3}(?:,\d{3})+)(?![\d,])", lambda m: m[0].replace(",", ""), out)
+        # a point and a comma are said as what they are, wherever they stand between digits
+        out = re.sub(r"(?<=\d)([.,])(?=\d)", lambda m: " point " if m[1] == "." else " virgule ", out)
         out = re.sub(r"\b1(ers?|[eè]res?|res?)\b", lambda m: french_ordinal(1, not m[1].startswith("er")), out)
         out = re.sub(r"\b(\d{1,12})(?:i?[eè]mes?|es?)\b", lambda m: french_ordinal(int(m[1])), out)
     out = re.sub(r"(?<!\d)(\d+)[.,](\d+)(?!\d)", lambda m: f" {spoken(m[1], lang)} {POINT[lang]} {spoken(m[2], lang)} ", out)

@@ -50,3 +50,37 @@ def test_arabic(spark, punctuation, latin):
     df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, t string")
     got = {r.i: r.o for r in df.select("i", Z.arabic(F.col("t"), punctuation, latin).alias("o")).collect()}
     assert [got[i] for i in range(len(cases))] == [expected for _, expected in cases]
+
+
+FRENCH = [
+    ('Ma grand-mère version 2.0 ne connaît pas wav2vec. Commande1', 'ma grand-mère version deux point zéro ne connaît pas wav to vec commande un'),
+    ('Elle pesait 67,5kg en 1995, et + en 1996.', 'elle pesait soixante-sept virgule cinq kilogrammes en mille neuf cent quatre-vingt-quinze et plus en mille neuf cent quatre-vingt-seize'),
+    ('¾ et 3/4 et 3 m² et 3m³ et 3.7cm² et 3,7 cm³', 'trois quarts et trois quarts et trois mètres carrés et trois mètres cubes et trois point sept centimètres carrés et trois virgule sept centimètres cubes'),
+    ('10 000 et 100 000 000 ne sont pas pareils que 06 12 34 56 78', 'dix mille et cent millions ne sont pas pareils que zéro six douze trente-quatre cinquante-six soixante-dix-huit'),
+    ('10,000 et 100,000,000 et 1111,000,000 et 1111,000000', 'dix mille et cent millions et mille cent onze virgule zéro zéro zéro virgule zéro zéro zéro et mille cent onze virgule zéro zéro zéro zéro zéro zéro'),
+    ('La Rochelle - CAUE 17 2003 2005 Inventaire du Pays', 'la rochelle caue dix-sept deux mille trois deux mille cinq inventaire du pays'),
+    ("Elle emploie 147 collaborateurs et dispose de 22 000 m² de surfaces d' entreposage situées Casablanca-Oukacha ( 4 000 m² ) , Had Soualem ( 4 100 m² ) et Ain Sebaâ ( 14 000m² )", "elle emploie cent quarante-sept collaborateurs et dispose de vingt-deux mille mètres carrés de surfaces d' entreposage situées casablanca-oukacha quatre mille mètres carrés had soualem quatre mille cent mètres carrés et ain sebaâ quatorze mille mètres carrés"),
+    ('1 200 et 01 2002', 'mille deux cents et zéro un deux mille deux'),
+    ("Attentats du 21//07: le suspect extradé d'Italie inculpé à Londres. Nous sommes le 01/01/2019 à 10h00 Il fait -1°C.", "attentats du vingt et un juillet le suspect extradé d' italie inculpé à londres nous sommes le premier janvier deux mille dix-neuf à dix heures il fait moins un degrés celsius"),
+    ('31/01/2019 et 2019/01/01', 'trente et un janvier deux mille dix-neuf et premier janvier deux mille dix-neuf'),
+    ("2" * 700, ("deux " * 700).strip()),
+    ('ça coute 1,20€', 'ça coute un euros vingt'),
+    ('ça coute 1,20 €', 'ça coute un euros vingt'),
+    ('ça coute 1,20$', 'ça coute un dollars vingt'),
+    ('ça coute 1,20 $', 'ça coute un dollars vingt'),
+    ('ça coute 1.20$ * 6 mois', 'ça coute un point vingt dollars six mois'),
+    ('ça coute 1.20 $ * 6 mois', 'ça coute un point vingt dollars six mois'),
+    ('L’état “from scratch”.', "l' état from scratch"),
+    ("``Elle veut nous faire croire qu'elle était complètement abrutie'', a affirmé l'avocat général notant cependant que l'ancienne prostituée -qui aurait dit dans la voiture ``Vas-y,allume-les!''-avait réussi sa reconversion après 1994.", "elle veut nous faire croire qu' elle était complètement abrutie a affirmé l' avocat général notant cependant que l' ancienne prostituée qui aurait dit dans la voiture vas-y allume-les avait réussi sa reconversion après mille neuf cent quatre-vingt-quatorze"),
+    ('http://www.linagora.blah.com/page.html est un site / www.linagora.com en est un autre', 'http deux points slash slash www point linagora point blah point com slash page point html est un site www point linagora point com en est un autre'),
+    ('www.len.com len.. ralenti', 'www point len point com len ralenti'),
+    ('M. Dupont, Mme. Dupont, Mlle. Dupont', 'monsieur dupont madame dupont mademoiselle dupont'),
+    ("J'ai mis les clefs dans la serrure en revenant du bistrot, etc. Je suis un feignant et cætera.", "j' ai mis les clés dans la serrure en revenant du bistro et cetera je suis un fainéant et cetera"),
+    ("chef-d'oeuvre et- voilà - quoi", "chef-d' oeuvre et voilà quoi"),
+]
+
+
+def test_french(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FRENCH)], "i int, t string")
+    got = {r.i: r.o for r in df.select("i", Z.latin(F.col("t"), "fr").alias("o")).collect()}
+    assert [got[i] for i in range(len(FRENCH))] == [expected for _, expected in FRENCH]

@@ -60,7 +60,7 @@ def test_other_numbers():
 @pytest.mark.parametrize(
     ("lang", "text", "expected"),
     [
-        ("fr", "M. Dupont a payé 1 234,50 € à 14h30 (oui) “vite”", "monsieur dupont a payé mille deux cent trente-quatre virgule cinquante euros à quatorze heures trente vite"),
+        ("fr", "M. Dupont a payé 1 234,50 € à 14h30 (oui) “vite”", "monsieur dupont a payé mille deux cent trente-quatre euros cinquante à quatorze heures trente oui vite"),
         ("en", "Mr. Smith paid $3,200 for 5%", "mister smith paid three thousand two hundred dollars for five percent"),
         ("ru", "Ёлка 5%", "елка пять процентов"),
         ("ar", "كِتَابٌ ١٢ أحمد", "كتاب اثنا عشر أحمد"),
