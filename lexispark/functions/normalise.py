@@ -94,14 +94,27 @@ def arabic(text: Column, keep_punctuation: bool = False, keep_latin: bool = Fals
     return T.collapse_whitespace(F.regexp_replace(out, rf"[^\s'’\-[{letters}]]", " "))
 
 
-def russian(text: Column, keep_punctuation: bool = False, split_hyphens: bool = True) -> Column:
-    """ё as е, Latin look-alikes as Cyrillic letters, numbers in words, lower case."""
-    out = T.symbols_to_words(T.normalise_characters(text), "ru")
+#: Signs and units in Russian words.
+RUSSIAN_SIGNS = {
+    "°F": "градус по фаренгейту", "°C": "градус по цельсию", "м³": "метр в кубе", "м²": "квадратный метр", "%": "процентов", "€": "евро", "$": "долларов", "£": "фунтов", "&": "энд", "№": "номер",
+    "@": "собака", "*": "умножить на", "+": "плюс", "=": "равно", "°": "градусов",
+}
+RUSSIAN_UNITS = {"кг": "килограмм", "мл": "миллилитр", "км": "километр", "см": "сантиметр", "мм": "миллиметр"}
+
+
+def russian(text: Column, keep_punctuation: bool = False, split_hyphens: bool = True, lower: bool = True, plain_e: bool = True) -> Column:
+    """Dates, numbers, signs and units in words, ё as е, lower case; hyphens split words unless they are kept. Latin words stay as they are."""
+    out = F.translate(text, "Ёё", "Ее") if plain_e else text
+    for unit, word in RUSSIAN_UNITS.items():
+        out = F.regexp_replace(out, rf"(?<=[0-9])\s?{unit}(?![\p{{L}}\p{{N}}²³])", f" {word} ")
+    for sign, word in RUSSIAN_SIGNS.items():
+        out = F.replace(out, F.lit(sign), F.lit(f" {word} "))
     out = to_words(out, "ru")
-    out = F.translate(F.lower(out), "ёaceopxy", "еасеорху")
-    out = F.replace(out, F.lit("-"), F.lit(" ")) if split_hyphens else out
-    out = out if keep_punctuation else T.remove_punctuation(out)
-    return T.collapse_whitespace(F.regexp_replace(out, r"[^\p{IsCyrillic}\s.,;:!?'-]", " "))
+    if not keep_punctuation:
+        out = F.translate(out, "-'", "  ") if split_hyphens else F.replace(out, F.lit("'"), F.lit(" "))
+        out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])-+|-+(?![\p{L}\p{N}])", " ")
+        out = T.remove_punctuation(T.normalise_characters(F.translate(out, "—–", "  ")))
+    return T.collapse_whitespace(F.lower(out) if lower else out)
 
 
 def format_text(text: Column, lang: str) -> Column:

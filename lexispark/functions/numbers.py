@@ -193,6 +193,38 @@ def french_ordinal(n: int, feminine: bool = False) -> str:
     return re.sub(r"(e|s)$", "", words) + "ième" if not words.endswith("trois") else words + "ième"
 
 
+# Russian months and ordinals, both in the genitive.
+RU_MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
+RU_ORDINALS = (
+    "нулевого первого второго третьего четвертого пятого шестого седьмого восьмого девятого десятого одиннадцатого двенадцатого тринадцатого четырнадцатого пятнадцатого шестнадцатого"
+    " семнадцатого восемнадцатого девятнадцатого"
+).split()
+RU_TENS_ORDINALS = "_ _ двадцатого тридцатого сорокового пятидесятого шестидесятого семидесятого восьмидесятого девяностого".split()
+RU_HUNDREDS_ORDINALS = "_ сотого двухсотого трехсотого четырехсотого пятисотого шестисотого семисотого восьмисотого девятисотого".split()
+
+
+def russian_ordinal(n: int) -> str:
+    """In the genitive; of a compound number only the last word is an ordinal."""
+    if n < 20:
+        return RU_ORDINALS[n]
+    for unit, names in ((20, RU_ORDINALS), (100, RU_TENS_ORDINALS), (1000, RU_HUNDREDS_ORDINALS)):
+        last = n % unit if unit != 20 else n % 100 if n % 100 < 20 else n % 10
+        if last:
+            name = names[last // {20: 1, 100: 10, 1000: 100}[unit]]
+            return f"{russian(n - last)} {name}" if n > last else name
+    return f"{russian(n // 1000)} тысячного" if n > 1999 else "тысячного"
+
+
+def russian_dates(text: str) -> str:
+    """Days and years beside a month's name, years before "г", and numbers with -го, as ordinals in the genitive."""
+    month = rf"(?:{'|'.join(RU_MONTHS)})"
+    year = lambda m: f"{russian_ordinal(int(m[1]))} года"
+    out = re.sub(rf"(?<!\d)0?(\d{{1,2}})(?=\s+{month}\b)", lambda m: russian_ordinal(int(m[1])), text)
+    out = re.sub(r"(?<!\d)([12]\d{3})\s*г(?:ода|\.|(?!\w))", year, out)
+    out = re.sub(rf"({month}\s+)([12]\d{{3}})(?!\d)", lambda m: m[1] + russian_ordinal(int(m[2])), out)
+    return re.sub(r"(?<!\d)(\d{1,9})-го\b", lambda m: russian_ordinal(int(m[1])), out)
+
+
 # French months.
 FR_MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
 
@@ -233,6 +265,8 @@ def numbers_to_words(text: str, lang: str) -> str:
     if lang == "en":
         out = re.sub(r"(?<![\d.,])(\d{1,3}(?:,\d{3})+)(?![\d])", lambda m: m[0].replace(",", ""), out)
         out = re.sub(r"\b(\d{1,12})(?:st|nd|rd|th)\b", lambda m: english_ordinal(int(m[1])), out)
+    if lang == "ru":
+        out = russian_dates(out)
     if lang == "fr":
         out = french_dates(out)
         out = re.sub(r"(?<![\d/.,-])(\d{1,3})/([1-9]\d{0,3})(?![\d/.,])", lambda m: french_fraction(int(m[1]), int(m[2])) if int(m[2]) > 1 else m[0], out)

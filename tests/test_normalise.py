@@ -84,3 +84,33 @@ def test_french(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FRENCH)], "i int, t string")
     got = {r.i: r.o for r in df.select("i", Z.latin(F.col("t"), "fr").alias("o")).collect()}
     assert [got[i] for i in range(len(FRENCH))] == [expected for _, expected in FRENCH]
+
+
+RU_OPTIONS = "Я помню чудное мгновенье, передо мной явилась ты. Когда-нибудь Ёжики и ёлки. This is a latin text to test. А это — определение"
+RUSSIAN = [
+    ("2 января и 02 января и 02 января 2001 и 2001 г", "второго января и второго января и второго января две тысячи первого и две тысячи первого года"),
+    ("Тест №1, Пушкин родился 26 мая (6 июня) 1799 г. в Москве, в Немецкой слободе.", "тест номер один пушкин родился двадцать шестого мая шестого июня одна тысяча семьсот девяносто девятого года в москве в немецкой слободе"),
+    ("29 августа, 11 сентября, 26 мая, 1 апреля, 2 января, 31 декабря", "двадцать девятого августа одиннадцатого сентября двадцать шестого мая первого апреля второго января тридцать первого декабря"),
+    (
+        "в четверг 4-го числа в 4 часа регулировщик регулировал в Лигурии, но 36%  и 6,5 кг лавировали",
+        "в четверг четвертого числа в четыре часа регулировщик регулировал в лигурии но тридцать шесть процентов и шесть запятая пять килограмм лавировали",
+    ),
+    ("Бутербрд: 1 хлеб, --------------- 40 яблок, 21мл соуса, 8,5 помидоров, 37г соли", "бутербрд один хлеб сорок яблок двадцать один миллилитр соуса восемь запятая пять помидоров тридцать семь г соли"),
+    (
+        "2378600, 78900532, 67588849214",
+        "два миллиона триста семьдесят восемь тысяч шестьсот семьдесят восемь миллионов девятьсот тысяч пятьсот тридцать два шестьдесят семь миллиардов пятьсот восемьдесят восемь миллионов"
+        " восемьсот сорок девять тысяч двести четырнадцать",
+    ),
+    (RU_OPTIONS, "я помню чудное мгновенье передо мной явилась ты когда нибудь ежики и елки this is a latin text to test а это определение"),
+    ("10 * 2 = 20. 20% от 500€ = 100€", "десять умножить на два равно двадцать двадцать процентов от пятьсот евро равно сто евро"),
+    ("M&Ms. 21 м³. 451°F", "m энд ms двадцать один метр в кубе четыреста пятьдесят один градус по фаренгейту"),
+]
+
+
+def test_russian(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(RUSSIAN)], "i int, t string")
+    got = {r.i: r.o for r in df.select("i", Z.russian(F.col("t")).alias("o")).collect()}
+    assert [got[i] for i in range(len(RUSSIAN))] == [expected for _, expected in RUSSIAN]
+    one = spark.createDataFrame([(RU_OPTIONS,)], "t string")
+    assert one.select(Z.russian(F.col("t"), True, False, False, False)).first()[0] == RU_OPTIONS
+    assert one.select(Z.russian(F.col("t"), split_hyphens=False)).first()[0] == RUSSIAN[6][1].replace("когда нибудь", "когда-нибудь")
