@@ -74,7 +74,7 @@ def _sampled(id_col: str, text_col: str, lang_col: str, edges: dict[str, int]) -
     return F.coalesce(keep, F.lit(False))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, margin: float = 2.0) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, margin: float = 3.0) -> Model:
     """A model of `sample` rows a language at most, those of the smallest hashes of id and text (of equal rows one): four of five are counted, the
     others are held out and say how improbable a text of a known language can be."""
     ship(labelled.sparkSession)
