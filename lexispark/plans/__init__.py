@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import partitions, relational, sequences, speakers, stats, texts
+from lexispark.plans import files, partitions, relational, sequences, speakers, stats, texts
 
-MODULES = (stats, relational, sequences, partitions, texts, speakers)
+MODULES = (stats, relational, sequences, partitions, texts, speakers, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
