@@ -72,7 +72,7 @@ FRENCH = [
     ('ça coute 1.20 $ * 6 mois', 'ça coute un point vingt dollars six mois'),
     ('L’état “from scratch”.', "l' état from scratch"),
     ("``Elle veut nous faire croire qu'elle était complètement abrutie'', a affirmé l'avocat général notant cependant que l'ancienne prostituée -qui aurait dit dans la voiture ``Vas-y,allume-les!''-avait réussi sa reconversion après 1994.", "elle veut nous faire croire qu' elle était complètement abrutie a affirmé l' avocat général notant cependant que l' ancienne prostituée qui aurait dit dans la voiture vas-y allume-les avait réussi sa reconversion après mille neuf cent quatre-vingt-quatorze"),
-    ('http://www.linagora.blah.com/page.html est un site / www.linagora.com en est un autre', 'http deux points slash slash www point linagora point blah point com slash page point html est un site www point linagora point com en est un autre'),
+    ('http://www.exemple.blah.com/page.html est un site / www.exemple.com en est un autre', 'http deux points slash slash www point exemple point blah point com slash page point html est un site www point exemple point com en est un autre'),
     ('www.len.com len.. ralenti', 'www point len point com len ralenti'),
     ('M. Dupont, Mme. Dupont, Mlle. Dupont', 'monsieur dupont madame dupont mademoiselle dupont'),
     ("J'ai mis les clefs dans la serrure en revenant du bistrot, etc. Je suis un feignant et cætera.", "j' ai mis les clés dans la serrure en revenant du bistro et cetera je suis un fainéant et cetera"),
