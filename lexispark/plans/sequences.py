@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexispark.operators import ordered as O
-from lexispark.plans.common import table
+from lexispark.plans.common import epoch_seconds, table
 
 
 def _segments(spark, d):
@@ -97,9 +97,10 @@ def stride_cut(spark, d):
 def session_windows(spark, d):
     """Extension: event-time sessions with a gap of an hour, and tumbling days."""
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
-    w = Window.partitionBy("user_id").orderBy("ts")
-    gap = F.expr("timestampdiff(SECOND, __p, ts)") > 3600
-    runs = O.islands(e.withColumn("__p", F.lag("ts").over(w)), ["user_id"], ["ts"], gap, "session")
+    # the gap with its fraction; rows without a time join the last session
+    order = F.asc_nulls_last("ts")
+    gap = epoch_seconds("ts") - F.lag(epoch_seconds("ts")).over(Window.partitionBy("user_id").orderBy(order))
+    runs = O.islands(e.withColumn("__gap", gap), ["user_id"], [order], F.col("__gap") > 3600, "session")
     return runs.groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
