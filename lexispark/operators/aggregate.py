@@ -88,10 +88,15 @@ def grouped_list(df: DataFrame, key: str, item: str, order: str) -> DataFrame:
 
 
 def weighted_vote(df: DataFrame, keys: list[str], answer: str, weight: Column, order: str, floor: float = 1.0) -> DataFrame:
-    """Per key the answer of the greatest summed weight, if no other has as much and it is over `floor`; with its score and first row."""
+    """Per key the answer of the greatest summed weight, if no other has as much and it is over `floor`; with its score and first row.
+
+    Weights are added in the order of the rows: sums of doubles that depend on the partitioning would make and break ties at random.
+    """
     from pyspark.sql import Window
 
-    scores = df.groupBy(*keys, answer).agg(F.sum(weight).alias("score"), F.min(order).alias("first_row"))
+    rows = Window.partitionBy(*keys, answer).orderBy(order, "__weight").rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.withColumn("__weight", weight).withColumn("__score", F.sum("__weight").over(rows)).withColumn("__row", F.row_number().over(rows))
+    scores = sums.groupBy(*keys, answer).agg(F.max_by("__score", "__row").alias("score"), F.min(order).alias("first_row"))
     top = Window.partitionBy(*keys).orderBy(F.desc("score"))
     ranked = scores.withColumn("rank", F.rank().over(top))
     best = ranked.filter("rank = 1").withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*keys)))

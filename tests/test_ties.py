@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import duckdb
 import pytest
@@ -33,3 +34,10 @@ def test_session_gap_has_a_fraction(matches):
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     events = [(1, at(0), 1, "a", 1.0), (2, at(3600.5), 1, "a", 1.0), (3, at(0), 2, "a", 1.0), (4, at(3600), 2, "a", 1.0), (5, at(7201), 2, "a", 1.0), (6, None, 2, "a", 1.0), (7, None, 3, "a", 1.0)]
     assert sorted((u, n) for u, _, _, _, n in matches("session_windows", events)) == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 1)]
+
+
+def test_votes_add_up_in_row_order(matches):
+    """0.1 and 0.5 have no exact sum: whether two answers tie depends on the order of the rows."""
+    r = random.Random(5)
+    events = [(i, None, r.randrange(300), r.choice("ab"), r.choice([10.0, 10.0, 30.0, 60.0])) for i in range(9000)]
+    assert len(matches("vote_winner", events)) > 200
