@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.aggregate import f1, wer_ratio
+from lexispark.operators.edits import distances
 from lexispark.session import ship
 
 COUNTS = "struct<hits:int,sub:int,del:int,ins:int>"
@@ -51,14 +52,31 @@ def edit_count_column(ref: Column, hyp: Column, unit: str = "word") -> Column:
     return F.pandas_udf(run, COUNTS)(ref, hyp)
 
 
+def char_distance_column(ref: Column, hyp: Column, most: float | None = None) -> Column:
+    """Edit distance by characters, as `levenshtein`; with `most`, whether it is over that share of the longer text (null if both are empty)."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            out = pd.Series([None] * len(a), dtype="object")
+            at = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None and (most is None or x or y)]
+            pairs = [(a[i], b[i]) for i in at]
+            # 1e-9: a share that is met exactly is not over it
+            found = distances(pairs, None if most is None else [int(max(len(x), len(y)) * most + 1e-9) for x, y in pairs])
+            out[at] = found if most is None else found < 0
+            yield out
+
+    ship()
+    return F.pandas_udf(run, "int" if most is None else "boolean")(ref, hyp)
+
+
 def pair(refs: DataFrame, hyps: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """References and hypotheses of the same id."""
     return refs.select(key, F.col(ref).alias("ref")).join(hyps.select(key, F.col(hyp).alias("hyp")), key)
 
 
-def spread(pairs: DataFrame, key: str) -> DataFrame:
+def spread(pairs: DataFrame, key: str, tasks: int = 4) -> DataFrame:
     """Pairs dealt over four tasks to a shuffle partition: comparing texts costs the square of their length, so a split's bytes don't bound its work."""
-    return pairs.repartition(4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return pairs.repartition(tasks * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def error_rates(pairs: DataFrame, keys: list[str] | None = None, unit: str = "word") -> DataFrame:
@@ -239,7 +257,4 @@ def positions(df: DataFrame, key: str, emission: str, tokens: str, seconds_per_f
 
 def mismatch(ref: Column, hyp: Column, most: float = 0.6) -> Column:
     """Whether the character distance without spaces is over `most` of the longer text (null if both are empty). Only a band of that width is searched."""
-    a, b = F.replace(ref, F.lit(" "), F.lit("")), F.replace(hyp, F.lit(" "), F.lit(""))
-    longer = F.greatest(F.length(a), F.length(b))
-    # 1e-9: a share that is met exactly is not over it
-    return F.when(longer > 0, F.call_function("levenshtein", a, b, F.floor(longer * F.lit(most) + F.lit(1e-9)).cast("int")) < 0)
+    return char_distance_column(F.replace(ref, F.lit(" "), F.lit("")), F.replace(hyp, F.lit(" "), F.lit("")), most)
