@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from lexispark.operators import edits
 from lexispark.operators import evaluate as E
@@ -44,3 +45,17 @@ def test_char_distance_of_nulls(spark):
     df = spark.createDataFrame([("a b", "ab"), ("", ""), (" ", ""), (None, "a"), ("abcdefghij", "abcdefghiX"), ("abcdefghij", "abcdefghXY")], "r string, h string")
     got = df.select(E.char_distance_column(df.r, df.h), E.mismatch(df.r, df.h, 0.1)).collect()
     assert [tuple(x) for x in got] == [(1, False), (0, None), (1, None), (None, None), (1, False), (2, True)]
+
+
+def test_char_counts(spark):
+    """Compiled counts are those of the whole table; texts of 200,000 letters, of which it would have 4 * 10^10 cells, take seconds."""
+    pairs = [*some_pairs(150, 300), (None, "a b"), ("a", None), (None, None), ("", ""), (" a\t b c ", "a b\nc")]
+    df = spark.createDataFrame(pairs, "r string, h string")
+    cut = lambda t: list(" ".join((t or "").split()))
+    assert [tuple(x.e) for x in df.select(E.edit_count_column(df.r, df.h, "char").alias("e")).collect()] == [E.edit_counts(cut(a), cut(b)) for a, b in pairs]
+    r = random.Random(7)
+    a = "".join(r.choice("abcdefghij") for _ in range(200_000))
+    b = a[:20_000] + a[20_300:] + "z" * 300
+    df, begin = spark.createDataFrame([(a, b), (b, a)], "r string, h string"), time.monotonic()
+    assert [tuple(x.e) for x in df.select(E.edit_count_column(df.r, df.h, "char").alias("e")).collect()] == [(199_700, 0, 300, 300)] * 2
+    assert time.monotonic() - begin < 60
