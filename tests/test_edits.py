@@ -59,3 +59,18 @@ def test_char_counts(spark):
     df, begin = spark.createDataFrame([(a, b), (b, a)], "r string, h string"), time.monotonic()
     assert [tuple(x.e) for x in df.select(E.edit_count_column(df.r, df.h, "char").alias("e")).collect()] == [(199_700, 0, 300, 300)] * 2
     assert time.monotonic() - begin < 60
+
+
+def test_align_words(spark):
+    """Compiled paths are those of the whole table; texts of 20,000 words, of which it would have 4 * 10^8 cells, take seconds."""
+    r = random.Random(9)
+    pairs = [*some_pairs(150, 300), (None, "a b"), ("a", None), ("", ""), (" a\t b c ", "a b\nc"), ("a" * 70 + " b", "b " + "a" * 80)]
+    df = spark.createDataFrame(pairs, "r string, h string")
+    got = [[tuple(p) for p in x.p] for x in df.select(E.align_words(df.r, df.h).alias("p")).collect()]
+    assert got == [E.word_path((a or "").split(), (b or "").split()) for a, b in pairs]
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(20_000)]
+    ref, hyp = " ".join(words), " ".join(w for i, w in enumerate(words) for w in [w] * (1 + (i % 7 == 0)))
+    df, begin = spark.createDataFrame([(ref, hyp)] * 4, "r string, h string").coalesce(1), time.monotonic()
+    paths = [x.p for x in df.select(E.align_words(df.r, df.h).alias("p")).collect()]
+    assert all([p.ref for p in path] == [i for i in range(20_000) for _ in range(1 + (i % 7 == 0))] and [p.hyp for p in path] == list(range(len(hyp.split()))) for path in paths)
+    assert time.monotonic() - begin < 60
