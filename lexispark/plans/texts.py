@@ -124,7 +124,8 @@ def system_difference(spark, d):
 def word_alignment(spark, d):
     """Rows only: word pairs of cheapest paths."""
     p = E.spread(_pairs(spark, d), "doc_id").select("doc_id", E.align_words(F.col("ref"), F.col("hyp")).alias("path"))
-    return p.select("doc_id", F.explode("path").alias("p")).select("doc_id", "p.ref", "p.hyp")
+    # explode() alone would have a filter on the path put before the exchange, which works each path out twice
+    return p.select("doc_id", F.explode_outer("path").alias("p")).filter(F.col("p").isNotNull()).select("doc_id", "p.ref", "p.hyp")
 
 
 def ctc_positions(spark, d):

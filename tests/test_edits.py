@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import time
 
+from lexispark import plans
 from lexispark.operators import edits
 from lexispark.operators import evaluate as E
+from tests.conftest import DATA
 
 
 def changed(r: random.Random, text: str, letters: str, share: float) -> str:
@@ -74,3 +76,8 @@ def test_align_words(spark):
     paths = [x.p for x in df.select(E.align_words(df.r, df.h).alias("p")).collect()]
     assert all([p.ref for p in path] == [i for i in range(20_000) for _ in range(1 + (i % 7 == 0))] and [p.hyp for p in path] == list(range(len(hyp.split()))) for path in paths)
     assert time.monotonic() - begin < 60
+
+
+def test_paths_are_worked_out_once(spark):
+    plan = plans.queries()["word_alignment"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WordPath(") == 1
